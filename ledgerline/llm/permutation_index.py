@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.vectors import best, pack, pair, unpack, usable
 
-PIVOTS, PREFIX, SHARE, LEAST = 256, 64, 0.1, 64
+PIVOTS, PREFIX, SHARE, LEAST = 256, 64, 0.15, 256
 
 
 def unit(x: np.ndarray) -> np.ndarray:

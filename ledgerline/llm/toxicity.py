@@ -7,8 +7,8 @@ has none at that place. A match must start at a word start; whole-word entries m
 
 Lexicon. From a bounded sample of labelled rows (``sample`` per class, by id hash): entries are
 folded words and word stems of 4 to 6 letters; each row counts an entry once. An entry is kept
-when it is in ``least`` toxic rows or more and its smoothed log-odds exceed ``odds``; the weight is the
-log-odds. Counting runs as a group-by; at most ``entries`` entries reach the driver.
+when it is in ``least`` toxic rows or more and its smoothed log-odds less their standard error exceed
+``odds``; the weight is the log-odds. Counting runs as a group-by; at most ``entries`` entries reach the driver.
 
 Exceptions. A phrase (an entry's word with the word before or after it) that occurs in ``least``
 clean sample rows and no toxic one is an exception: a match inside it does not count. Callers can
@@ -182,7 +182,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, least: int = 5, odds: float = 2.0, entries: int = 20000, exceptions: frozenset[str] = frozenset()) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, least: int = 5, odds: float = 2.5, entries: int = 20000, exceptions: frozenset[str] = frozenset()) -> Lexicon:
     """A lexicon from the texts of ``docs`` and the 0/1 labels of ``labels``; at most ``sample`` rows of each label are used."""
     known = labels.filter(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("_y"))
     share = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
@@ -195,7 +195,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     n0, n1 = seen[0], seen[1]
     p = picked.mapInArrow(_counted, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     log_odds = F.log((F.col("toxic") + 0.5) / (n1 + 1) / ((F.col("clean") + 0.5) / (n0 + 1)))
-    kept = p.filter(F.col("toxic") >= least).withColumn("w", log_odds).filter(F.col("w") > odds).orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "entry").limit(entries)
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    kept = p.filter(F.col("toxic") >= least).withColumn("w", log_odds).filter(F.col("w") - error > odds).orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "entry").limit(entries)
     for entry, clean, toxic, w in kept.collect():
         if entry.endswith("*"):
             lexicon.stems[entry[:-1]] = w
