@@ -36,24 +36,39 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def bounded_sample(df: DataFrame, stratum: str, per_stratum: int, id_col: str) -> DataFrame:
+def bounded_sample(df: DataFrame, stratum: str, per_stratum: int, id_col: str, counts: dict | None = None) -> DataFrame:
     """At most ``per_stratum`` rows of each value of ``stratum``: those whose id hashes lowest.
 
-    The window has a row limit, so Spark keeps only ``per_stratum`` rows of a value in each
-    map task before the shuffle; a value with a third of all rows costs no more than others.
+    ``counts`` (rows by value) lets rows whose hash is far above the sample's reach be left out before
+    the shuffle, so about twice the sample is shuffled at every size; the order is by the same hash, so
+    the sample is the same. The row limit on the window holds where one id repeats.
     """
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(17), F.col(id_col)), F.col(id_col))
+    h = F.xxhash64(F.lit(17), F.col(id_col))
+    if counts is not None:
+        reach = [(v, min(1.0, (2 * per_stratum + 200) / n)) for v, n in counts.items()]
+        bound = F.coalesce(*[F.when(F.col(stratum) == F.lit(v), F.lit(int(-(2**63) + share * (2**64 - 2**12)))) for v, share in reach], F.lit(-(2**63)))
+        df = df.filter(h <= bound)
+    order = Window.partitionBy(stratum).orderBy(h, F.col(id_col))
     return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_stratum).drop("_rank")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, per_label: int) -> DataFrame:
-    """``_text`` and ``_label`` of at most ``per_label`` rows of each label, cut to the shared folder.
+def labelled_sample(docs: DataFrame, labels: DataFrame, counts: dict, *, id_col: str, text_col: str, label_col: str, per_label: int) -> DataFrame:
+    """``_text`` and ``_label`` of at most ``per_label`` rows of each label in ``counts`` (rows by label), cut to
+    the shared folder.
 
     Which ids are in the sample is settled on (id, label) alone. That list is bounded by ``per_label``
     times the number of labels, so it is broadcast; texts outside the sample are never shuffled. A
     second limit holds where an id repeats in ``docs``. Null ids, labels and texts don't take part.
     """
-    keys = bounded_sample(labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropna(), "_label", per_label, "_id").distinct()
+    keys = bounded_sample(labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).dropna(), "_label", per_label, "_id", counts).distinct()
     texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text")).dropna()
     joined = texts.join(F.broadcast(keys), F.col("_key") == F.col("_id")).select("_text", "_label", "_id")
     return cut(bounded_sample(joined, "_label", per_label, "_id").select("_text", "_label"))
+
+
+def with_text(docs: DataFrame, id_cols: list[str], text_col: str) -> tuple[DataFrame, int, str]:
+    """``docs`` narrowed to ``id_cols`` and the text (once), the text's place, and the fields of ``id_cols`` as DDL."""
+    names = list(dict.fromkeys([*id_cols, text_col]))
+    kept = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in names])
+    kinds = dict(kept.dtypes)
+    return kept, names.index(text_col), ", ".join(f"`{c}` {kinds[c]}" for c in id_cols)

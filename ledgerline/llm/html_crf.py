@@ -28,7 +28,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ledgerline.llm.common import with_text
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -353,12 +354,12 @@ def extract(pages: DataFrame, *, id_cols: list[str], html_col: str = "html", mod
     made = model or default_model()
     parts = (made.weights, made.moves, made.starts)
 
+    kept, at, fields = with_text(pages, id_cols, html_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = Crf(*parts)
         for batch in batches:
-            texts = [crf.extract(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
+            texts = [crf.extract(p.as_py()) for p in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*id_cols, "text", "n_chars"])
 
-    kept = pages.select(*id_cols, F.col(html_col).cast("string").alias("_html"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
     return kept.mapInArrow(run, f"{fields}, text string, n_chars long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import labelled_sample
+from ledgerline.llm.common import labelled_sample, with_text
 
 SLOTS, BATCH = 8192, 128
 _OTHER = re.compile(r"[\W\d_]+")
@@ -53,17 +53,16 @@ class LanguageModel:
     landmarks: np.ndarray  # slots x m, columns scaled to length one
     alpha: np.ndarray  # m x labels
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
-        if not self.labels:
-            return names, scores
-        plain = [letters(t) for t in texts]
-        rows = [i for i, p in enumerate(plain) if any(ch.isalpha() for ch in p)]
-        for at in range(0, len(rows), BATCH):
-            part = rows[at : at + BATCH]
+        for at in range(0, len(texts) if self.labels else 0, BATCH):
+            plain = [letters(t.as_py()) for t in texts[at : at + BATCH]]
+            part = [at + i for i, p in enumerate(plain) if any(ch.isalpha() for ch in p)]
+            if not part:
+                continue
             x = np.zeros((len(part), self.landmarks.shape[0]), np.float32)
             for r, i in enumerate(part):
-                presence(plain[i], x[r])
+                presence(plain[i - at], x[r])
             f = (x @ self.landmarks) / np.sqrt(x.sum(1, keepdims=True)) @ self.alpha
             best = f.argmax(1)
             for r, i in enumerate(part):
@@ -90,7 +89,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     empty = LanguageModel([], np.zeros((SLOTS, 0), np.float32), np.zeros((0, 0), np.float32))
     if not names:
         return empty
-    picked = labelled_sample(docs.withColumnRenamed(id_col, "_id"), known.filter(F.col("_label").isin(names)), id_col="_id", text_col=text_col, label_col="_label", per_label=max(1, min(sample, 4096 // len(names))))
+    picked = labelled_sample(docs.withColumnRenamed(id_col, "_id"), known.filter(F.col("_label").isin(names)), {r[0]: r[1] for r in counts}, id_col="_id", text_col=text_col, label_col="_label", per_label=max(1, min(sample, 4096 // len(names))))
     rows = picked.mapInArrow(_features, "bits binary, label string").collect()
     if not rows:
         return empty
@@ -115,11 +114,11 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_cols: list[str], text_
     """``id_cols``, ``lang_pred`` and ``score`` for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: slots x landmarks floats
 
+    kept, at, fields = with_text(docs, id_cols, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            names, scores = shared.value.predict(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], pa.array(names, pa.string()), pa.array(scores)], names=[*id_cols, "lang_pred", "score"])
 
-    kept = docs.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
     return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import labelled_sample
+from ledgerline.llm.common import labelled_sample, with_text
 
 SLOTS, BATCH = 4096, 256
 _A, _B = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
@@ -127,7 +127,7 @@ def learn(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_c
     kept = ratings.select(F.col(id_col), F.col(grade_col).cast("int").alias("_grade")).dropna()
     shares = {r[0]: r[1] for r in kept.groupBy("_grade").count().collect()}
     per = max(1, min(sample, 4096 // max(1, len(shares))))
-    rows = labelled_sample(docs, kept, id_col=id_col, text_col=text_col, label_col="_grade", per_label=per).mapInArrow(_features, "x binary, grade int").collect()
+    rows = labelled_sample(docs, kept, shares, id_col=id_col, text_col=text_col, label_col="_grade", per_label=per).mapInArrow(_features, "x binary, grade int").collect()
     rows = sorted((bytes(r[0]), r[1]) for r in rows)
     x = np.frombuffer(b"".join(r[0] for r in rows), np.float16).reshape(len(rows), SLOTS).astype(np.float32)
     grades = np.array([r[1] for r in rows], int)
@@ -137,17 +137,17 @@ def learn(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_c
 def grade(docs: DataFrame, model: OrdinalModel, *, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """``id_cols``, ``expected_grade`` and ``tails`` (P(grade >= k) for each grade but the least)."""
 
+    kept, text_at, fields = with_text(docs, id_cols, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, tails = batch.column(batch.num_columns - 1).to_pylist(), []
+            texts, tails = batch.column(text_at), []
             for at in range(0, len(texts), BATCH):
                 x = np.zeros((len(texts[at : at + BATCH]), SLOTS), np.float32)
                 for r, t in enumerate(texts[at : at + BATCH]):
-                    featurise(t, x[r])
+                    featurise(t.as_py(), x[r])
                 tails.append(model.tails(x.astype(np.float16).astype(np.float64)))
             all_tails = np.concatenate(tails) if tails else np.zeros((0, len(model.thresholds)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.expected(all_tails), pa.float64()), pa.array(list(all_tails), pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "expected_grade", "tails"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], pa.array(model.expected(all_tails), pa.float64()), pa.array(list(all_tails), pa.list_(pa.float64()))], names=[*id_cols, "expected_grade", "tails"])
 
-    kept = docs.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
     return kept.mapInArrow(run, f"{fields}, expected_grade double, tails array<double>")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import labelled_sample
+from ledgerline.llm.common import labelled_sample, with_text
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -188,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     share = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     prior = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
     lexicon = Lexicon(bias=math.log(prior / (1 - prior)), phrases=frozenset(exceptions))
-    picked = labelled_sample(docs, known, id_col=id_col, text_col=text_col, label_col="_y", per_label=sample)
+    picked = labelled_sample(docs, known, share, id_col=id_col, text_col=text_col, label_col="_y", per_label=sample)
     seen = {r[0]: r[1] for r in picked.groupBy("_label").count().collect()}
     if len(seen) < 2:
         return lexicon
@@ -221,12 +221,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score(docs: DataFrame, lexicon: Lexicon, *, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """``id_cols`` and ``score`` (0 to 1) for every row."""
 
+    kept, at, fields = with_text(docs, id_cols, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            scores = pa.array([lexicon.score(t, automaton) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*batch.schema.names[:-1], "score"])
+            scores = pa.array([lexicon.score(t.as_py(), automaton) for t in batch.column(at)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], scores], names=[*id_cols, "score"])
 
-    kept = docs.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])
     return kept.mapInArrow(run, f"{fields}, score double")
