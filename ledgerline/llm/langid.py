@@ -89,7 +89,8 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     empty = LanguageModel([], np.zeros((SLOTS, 0), np.float32), np.zeros((0, 0), np.float32))
     if not names:
         return empty
-    picked = labelled_sample(docs.withColumnRenamed(id_col, "_id"), known.filter(F.col("_label").isin(names)), {r[0]: r[1] for r in counts}, id_col="_id", text_col=text_col, label_col="_label", per_label=max(1, min(sample, 4096 // len(names))))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_plain"))
+    picked = labelled_sample(texts, known.filter(F.col("_label").isin(names)), {r[0]: r[1] for r in counts}, id_col="_id", text_col="_plain", label_col="_label", per_label=max(1, min(sample, 4096 // len(names))))
     rows = picked.mapInArrow(_features, "bits binary, label string").collect()
     if not rows:
         return empty

@@ -96,13 +96,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     pairs = pair(pack(queries.filter(nonzero).select(id_col, vector_col).distinct(), id_col, vector_col, size=512), pack(vectors.filter(nonzero), id_col, vector_col), cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[bytes, Shard | None, np.ndarray, np.ndarray] | None = None
+        kept: tuple[tuple[bytes, bytes], Shard | None, np.ndarray, np.ndarray] | None = None
         for batch in batches:
             for q_ids, q, c_ids, c, dim in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 qi, qv = unpack(q_ids, q, dim)
-                if kept is None or kept[0] != c:  # a shard's index serves all query blocks that meet it in turn
+                if kept is None or kept[0] != (c_ids, c):  # a shard's index serves all query blocks that meet it in turn
                     ci, cv = unpack(c_ids, c, dim)
-                    kept = (c, Shard(unit(cv), chosen, prefix) if dim == chosen.shape[1] and len(chosen) else None, ci, cv)
+                    kept = ((c_ids, c), Shard(unit(cv), chosen, prefix) if dim == chosen.shape[1] and len(chosen) else None, ci, cv)
                 _, shard, ci, cv = kept
                 ranked = prefixes(unit(qv), chosen, prefix) if shard else None
                 rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
