@@ -35,8 +35,13 @@ def similarity(same_layout: Column, x1: Column, y1: Column, x2: Column, y2: Colu
 
 
 def match_patterns(invoices: DataFrame, patterns: DataFrame, *, threshold: float = 0.5, k: int = 3) -> DataFrame:
-    """Each invoice's ``k`` most similar patterns of its supplier; ties go to the smaller pattern id."""
-    p = patterns.select("supplier_name", F.col("layout_hash").alias("p_layout"), "pattern_id", F.col("position_x").alias("px"), F.col("position_y").alias("py"))
+    """Each invoice's ``k`` most similar patterns of its supplier; ties go to the smaller pattern id.
+
+    Patterns at one place of one layout are equally similar, so only the ``k`` smallest ids of each place can be among the
+    best; the rest go before the join."""
+    place = Window.partitionBy("supplier_name", "layout_hash", "position_x", "position_y").orderBy("pattern_id")
+    p = patterns.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= k)
+    p = p.select("supplier_name", F.col("layout_hash").alias("p_layout"), "pattern_id", F.col("position_x").alias("px"), F.col("position_y").alias("py"))
     s = similarity(F.col("layout_hash") == F.col("p_layout"), F.col("px"), F.col("py"), F.col("position_x"), F.col("position_y"))
     scored = invoices.join(p, "supplier_name").withColumn("similarity", s).filter(F.col("similarity") >= threshold)
     order = Window.partitionBy("invoice_id").orderBy(F.desc("similarity"), "pattern_id")
@@ -68,19 +73,21 @@ def consolidate(patterns: DataFrame, *, max_distance: float = 50.0) -> DataFrame
     """Greedy leaders in (usage, last use) order within a supplier's layout: patterns within ``max_distance`` of a leader merge
     into it (usage summed, latest use kept). Patterns without a position stay.
 
-    A leader's reach is ``max_distance``, so leaders are folded in order over each layout's list of (at most a few thousand
-    learned) patterns; a layout is a supplier, and its patterns are made by hand."""
-    fields = F.struct((-F.col("usage_count")).alias("u"), (-F.unix_micros("last_used")).alias("t"), F.col("pattern_id").alias("id"), F.col("position_x").alias("x"), F.col("position_y").alias("y"))
+    A pattern at the place of an earlier one joins the same leader, so places are summed up first; the ordered fold runs over a
+    layout's places and keeps leaders only, which lie more than ``max_distance`` apart on a page."""
+    keys = ["supplier_name", "layout_hash"]
     patterns = patterns.withColumn("last_used", F.col("last_used").cast("timestamp"))
     placed = patterns.filter("position_x is not null and position_y is not null")
-    lists = placed.groupBy("supplier_name", "layout_hash").agg(F.array_sort(F.collect_list(fields)).alias("p"))
+    order = F.struct((-F.col("usage_count")).alias("u"), (-F.unix_micros("last_used")).alias("t"), F.col("pattern_id").alias("id"))
+    places = placed.groupBy(*keys, "position_x", "position_y").agg(F.min(order).alias("o"), F.sum("usage_count").alias("u"), F.max("last_used").alias("t"), F.count(F.lit(1)).alias("n"))
+    lists = places.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("o", F.col("position_x").alias("x"), F.col("position_y").alias("y"), "u", "t", "n"))).alias("p"))
     near = lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])) <= max_distance
     leaders = F.aggregate("p", F.slice("p", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda q: near(q, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    owned = lists.withColumn("leaders", leaders).select("supplier_name", "layout_hash", "leaders", F.explode("p").alias("m"))
+    owned = lists.withColumn("leaders", leaders).select(*keys, "leaders", F.explode("p").alias("m"))
     owner = F.get(F.filter("leaders", lambda q: near(q, F.col("m"))), F.lit(0))
-    merged = owned.select("supplier_name", "layout_hash", owner["id"].alias("pattern_id"), (-F.col("m.u")).alias("u"), (-F.col("m.t")).alias("t"))
-    out = merged.groupBy("supplier_name", "layout_hash", "pattern_id").agg(F.sum("u").alias("usage_count"), F.timestamp_micros(F.max("t")).alias("last_used"), F.count(F.lit(1)).alias("merged"))
-    alone = patterns.filter("position_x is null or position_y is null").select("supplier_name", "layout_hash", "pattern_id", F.col("usage_count").cast("long"), "last_used", F.lit(1).cast("long").alias("merged"))
+    merged = owned.select(*keys, owner["o"]["id"].alias("pattern_id"), "m.u", "m.t", "m.n")
+    out = merged.groupBy(*keys, "pattern_id").agg(F.sum("u").alias("usage_count"), F.max("t").alias("last_used"), F.sum("n").alias("merged"))
+    alone = patterns.filter("position_x is null or position_y is null").select(*keys, "pattern_id", F.col("usage_count").cast("long"), "last_used", F.lit(1).cast("long").alias("merged"))
     return out.unionByName(alone)
 
 

@@ -263,13 +263,14 @@ registered(
 
 
 def _queried(s: SparkSession, d: str) -> DataFrame:
+    """The stated query set of the similarity search: events whose id is divisible by 20."""
     k = F.col("event_id")
-    return tables.table(s, d, "events").filter(k % 50 == 0).select(k.alias("invoice_id"), F.col("event_type").alias("supplier_name"), F.md5(F.concat(F.col("event_type"), F.when(k % 100 == 0, "footer").otherwise("other")).cast("binary")).alias("layout_hash"), F.when(k % 150 != 0, (k % 500).cast("double")).alias("position_x"), F.when(k % 150 != 0, (k % 700).cast("double")).alias("position_y"))
+    return tables.table(s, d, "events").filter(k % 20 == 0).select(k.alias("invoice_id"), F.col("event_type").alias("supplier_name"), F.md5(F.concat(F.col("event_type"), F.when(k % 100 == 0, "footer").otherwise("other")).cast("binary")).alias("layout_hash"), F.when(k % 150 != 0, (k % 500).cast("double")).alias("position_x"), F.when(k % 150 != 0, (k % 700).cast("double")).alias("position_y"))
 
 
 registered(
     "pattern_similarity_topk",
-    f"""WITH {sql.PATTERNS}, i AS (SELECT event_id AS invoice_id, event_type AS supplier_name, md5(event_type || CASE WHEN event_id % 100 = 0 THEN 'footer' ELSE 'other' END) AS layout_hash, CASE WHEN event_id % 150 <> 0 THEN CAST(event_id % 500 AS DOUBLE) END AS x, CASE WHEN event_id % 150 <> 0 THEN CAST(event_id % 700 AS DOUBLE) END AS y FROM events WHERE event_id % 50 = 0),
+    f"""WITH {sql.PATTERNS}, i AS (SELECT event_id AS invoice_id, event_type AS supplier_name, md5(event_type || CASE WHEN event_id % 100 = 0 THEN 'footer' ELSE 'other' END) AS layout_hash, CASE WHEN event_id % 150 <> 0 THEN CAST(event_id % 500 AS DOUBLE) END AS x, CASE WHEN event_id % 150 <> 0 THEN CAST(event_id % 700 AS DOUBLE) END AS y FROM events WHERE event_id % 20 = 0),
     s AS (SELECT invoice_id, pattern_id, CASE WHEN i.layout_hash = p.layout_hash THEN 0.5 ELSE 0.0 END::DOUBLE + CASE WHEN x IS NULL AND position_x IS NULL THEN 0.25 WHEN x IS NULL OR position_x IS NULL THEN 0.0 ELSE CAST(0.5 AS DOUBLE) / (sqrt((position_x - x) * (position_x - x) + (position_y - y) * (position_y - y)) / CAST(100.0 AS DOUBLE) + 1.0) END AS similarity FROM i JOIN pat p ON i.supplier_name = p.supplier_name)
     SELECT invoice_id, CAST(row_number() OVER (PARTITION BY invoice_id ORDER BY similarity DESC, pattern_id) AS INT) AS rank, pattern_id, round(similarity, 9) AS similarity FROM s WHERE similarity >= 0.5 QUALIFY rank <= 3""",
 )(lambda s, d: learning.match_patterns(_queried(s, d), tables.patterns(s, d)).withColumn("similarity", F.round("similarity", 9)))
@@ -356,8 +357,8 @@ registered("wrap_absorb")(
 )
 registered(
     "column_assign",
-    f"WITH {sql.TOKENS} SELECT doc_id, page_number, token_idx, CASE WHEN x + 25 < 175 THEN 0 WHEN x + 25 < 375 THEN 1 ELSE 2 END AS column FROM tok WHERE i % 8 <> 2 AND i % 8 <> 5",
-)(lambda s, d: layout.assign_columns(tables.tokens(s, d).filter("token_idx % 8 not in (2, 5)").withColumn("centers", F.array(F.lit(100.0), F.lit(250.0), F.lit(500.0)))).select("doc_id", "page_number", "token_idx", "column"))
+    f"WITH {sql.TOKENS} SELECT doc_id, page_number, token_idx, CASE WHEN x + 25 <= 175 THEN 0 WHEN x + 25 <= 375 THEN 1 ELSE 2 END AS column FROM tok",
+)(lambda s, d: layout.assign_columns(tables.tokens(s, d).withColumn("centers", F.array(F.lit(100.0), F.lit(250.0), F.lit(500.0)))).select("doc_id", "page_number", "token_idx", "column"))
 
 
 @registered("invoice_boundaries")

@@ -34,12 +34,12 @@ CORRECTIONS = """cor AS (
 
 PATTERNS = """pat AS (
   SELECT event_id AS pattern_id, event_type AS supplier_name, md5(event_type || 'footer') AS layout_hash, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id * 37 % 600 AS DOUBLE) END AS position_x, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id * 53 % 800 AS DOUBLE) END AS position_y,
-    CAST(event_id % 3 AS DOUBLE) AS correct_total, CAST(0.1 AS DOUBLE) AS confidence_boost, CAST(event_id % 5 AS INT) AS usage_count, CAST(ts AS TIMESTAMP) AS last_used FROM events WHERE event_id % 7 = 0)"""
+    CAST(event_id % 3 AS DOUBLE) AS correct_total, CAST(0.1 AS DOUBLE) AS confidence_boost, CAST(event_id % 5 AS INT) AS usage_count, CAST(ts AS TIMESTAMP) AS last_used FROM events)"""
 
 TRUTH = """truth AS (
   SELECT l.doc_id, round(least(1.0, n_chars % 1000 / CAST(1000.0 AS DOUBLE) * CAST(0.6 AS DOUBLE) + l.doc_id % 41 / CAST(100.0 AS DOUBLE)), 6) AS raw_confidence, quality = 1 AS actual_correct, source AS supplier, lang AS field
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
 TOKENS = r"""words AS (
-  SELECT doc_id, unnest(string_split(trim(regexp_replace(text, '[ \n\t\r]+', ' ', 'g')), ' ')) AS text, generate_subscripts(string_split(trim(regexp_replace(text, '[ \n\t\r]+', ' ', 'g')), ' '), 1) - 1 AS i FROM documents WHERE doc_id % 5 = 0), tok AS (
+  SELECT doc_id, unnest(string_split(trim(regexp_replace(text, '[ \n\t\r]+', ' ', 'g')), ' ')) AS text, generate_subscripts(string_split(trim(regexp_replace(text, '[ \n\t\r]+', ' ', 'g')), ' '), 1) - 1 AS i FROM documents), tok AS (
   SELECT doc_id, CAST(i // 200 AS INT) AS page_number, CAST(i AS INT) AS token_idx, text, (i % 8 * 70.0)::DOUBLE AS x, (i % 200 // 8 * 30.0 + i % 8 * 1.25)::DOUBLE AS y, 50.0::DOUBLE AS width, (i % 5 + 8.0)::DOUBLE AS height, i FROM words)"""

@@ -52,8 +52,8 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 7th event as a learned pattern with an integer position."""
-    e = table(spark, sf_dir, "events").filter("event_id % 7 = 0")
+    """Events as learned patterns with integer positions."""
+    e = table(spark, sf_dir, "events")
     i = F.col("event_id")
     return e.select(
         i.alias("pattern_id"), F.col("event_type").alias("supplier_name"), F.md5(F.concat(F.col("event_type"), F.lit("footer")).cast("binary")).alias("layout_hash"), F.when(i % 4 != 0, (i * 37 % 600).cast("double")).alias("position_x"), F.when(i % 4 != 0, (i * 53 % 800).cast("double")).alias("position_y"),
@@ -69,8 +69,8 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of short documents as positioned tokens: y steps unevenly, x by place in the row."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 5 = 0")
+    """Words of the documents as positioned tokens: y steps unevenly, x by place in the row."""
+    d = table(spark, sf_dir, "documents")
     word = d.select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"[ \n\t\r]+", " ")), " ")).alias("token_idx", "text"))
     i = F.col("token_idx")
     return word.select("doc_id", F.floor(i / 200).cast("int").alias("page_number"), "token_idx", "text", (i % 8 * 70.0).alias("x"), (F.floor(i % 200 / 8) * 30.0 + i % 8 * 1.25).alias("y"), F.lit(50.0).alias("width"), (i % 5 + 8.0).alias("height"), F.lit(792.0).alias("page_height"), F.lit(612.0).alias("page_width"))
