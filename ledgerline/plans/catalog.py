@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import numbers, text
 from ledgerline.operators import analytics, calibration, layout, learning, reconcile, routing
+from ledgerline.plans import extracted
 from ledgerline.plans import views_sql as sql
 from ledgerline.sources import tables
 
@@ -29,11 +30,11 @@ def registered(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | extracted.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | extracted.ORACLES
 
 
 INVOICE = ["invoice_number", "supplier_name", "invoice_date", "total_amount", "status"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,47 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = d.select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"[ \n\t\r]+", " ")), " ")).alias("token_idx", "text"))
     i = F.col("token_idx")
     return word.select("doc_id", F.floor(i / 200).cast("int").alias("page_number"), "token_idx", "text", (i % 8 * 70.0).alias("x"), (F.floor(i % 200 / 8) * 30.0 + i % 8 * 1.25).alias("y"), F.lit(50.0).alias("width"), (i % 5 + 8.0).alias("height"), F.lit(792.0).alias("page_height"), F.lit(612.0).alias("page_width"))
+
+
+def _text_rows(orders: DataFrame, first_y: float, *texts: F.Column) -> DataFrame:
+    """One row for each of ``texts`` that is not null, 20 points apart on an 800-point page."""
+    rows = orders.select("invoice_id", F.posexplode(F.array(*texts)).alias("row_idx", "text")).filter("text is not null")
+    return rows.select("invoice_id", "row_idx", (F.col("row_idx") * 20 + first_y).cast("double").alias("y"), F.lit(800.0).alias("page_height"), "text")
+
+
+def rendered_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header rows of every order; the key sets the layout."""
+    k = F.col("o_orderkey")
+    number = (k + 1000000).cast("string")
+    shown = F.when(k % 4 == 0, F.lit("Fakturanummer")).when(k % 4 == 3, F.lit("Kund")).otherwise(F.concat(F.lit("Faktura nr: "), number))
+    below = F.when(k % 4 == 0, number).when(k % 4 == 3, F.concat(F.lit("ID "), number)).otherwise("2024-08-22")
+    return _text_rows(
+        table(spark, sf_dir, "orders").withColumn("invoice_id", k), 20.0, F.concat(F.lit("Sida 1/"), (k % 3 + 1).cast("string")), F.when(k % 2 == 0, F.lit("Norra Verkstaden")), F.when(k % 3 != 0, F.concat(F.lit("Bygg "), F.translate(F.col("o_custkey").cast("string"), "0123456789", "abcdefghij"), F.lit(" AB"))),
+        shown, below, F.when(k % 5 != 0, F.concat(F.lit("Er referens: RF "), k.cast("string"))),
+    )
+
+
+def rendered_footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summation rows of every order: net, VAT and gross; every third order has the gross amount one row below its label."""
+    o = table(spark, sf_dir, "orders")
+    k, net = F.col("o_orderkey"), money(F.col("o_totalprice"))
+    shown = lambda v: F.translate(F.format_number(v, 2), ",.", " ,")
+    gross = shown((net * 2).cast("decimal(18,2)"))
+    return _text_rows(
+        o.withColumn("invoice_id", k), 600.0, F.concat(F.lit("Nettobelopp exkl. moms "), shown(net)), F.lit("Moms"), F.when(k % 3 == 0, F.lit("Att betala")).otherwise(F.concat(F.lit("Att betala "), gross, F.lit(" kr"))), F.when(k % 3 == 0, gross),
+    )
+
+
+def rendered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text rows of all lineitems: article, words, quantity, price; every third line wraps over a second row."""
+    l = table(spark, sf_dir, "lineitem")
+    k = F.row_number().over(_line_order())
+    shown = lambda v: F.translate(money(v).cast("string"), ".", ",")
+    text = F.concat(F.lit("70000"), F.col("l_partkey").cast("string"), F.lit(" Skruv rostfri stor "), F.col("l_quantity").cast("int").cast("string"), F.lit(" st "), shown(F.col("l_extendedprice")))
+    rows = l.select(F.col("l_orderkey").alias("invoice_id"), k.alias("_k"), text.alias("_t"))
+    rows = rows.select("invoice_id", "_k", F.posexplode(F.when(F.col("_k") % 3 == 0, F.array("_t", F.lit("med bricka"))).otherwise(F.array("_t"))).alias("_p", "text"))
+    return rows.select("invoice_id", (F.col("_k") * 2 + F.col("_p")).cast("int").alias("row_idx"), "text")
+
+
+def _line_order() -> WindowSpec:
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
