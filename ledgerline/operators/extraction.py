@@ -172,7 +172,7 @@ def item_lines(items: DataFrame) -> DataFrame:
     facts = items.withColumn("_from", F.min(header).over(whole))
     facts = facts.withColumn("_to", F.min(F.when((F.col("row_idx") > F.col("_from")) & F.col("text").rlike(r"(?i)nettobelopp\s+exkl\.?\s*moms"), F.col("row_idx"))).over(whole))
     inside = (F.col("_from").isNull() | (F.col("row_idx") > F.col("_from"))) & (F.col("_to").isNull() | (F.col("row_idx") < F.col("_to")))
-    block = facts.filter(inside & ~R.is_footer_row(F.col("text"))).withColumn("_a", R.line_amount(F.col("text"))).withColumn("_line", F.sum(F.col("_a").isNotNull().cast("int")).over(w))
+    block = facts.filter(inside).withColumn("_a", R.line_amount(F.col("text"))).filter(~R.is_footer_row(F.col("text"), F.col("_a"))).withColumn("_line", F.sum(F.col("_a").isNotNull().cast("int")).over(w))
     named = F.when(F.col("_a").isNotNull(), R.before_mark(F.col("text"), F.col("_a.mark"))).otherwise(F.col("text"))
     # A quantity with a unit closes the description; numbers after it are prices and discounts.
     measured = rf"(?iu)^(.*?)(?:^|\s)(-?\d+(?:[.,]\d+)?)\s+({'|'.join(re.escape(u) for u in sorted(R.UNITS, key=len, reverse=True))})(?=\s|$)(.*)$"
