@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.bpe import Encoder, shared_encoder
+from ledgerline.llm.bpe import _UNSAFE, Encoder, shared_encoder
 
-GROUP, CACHE = 4096, 1_000_000
+GROUP, CACHE = 4096, 100_000
 
 
 class TournamentTree:
@@ -135,6 +136,47 @@ def _library_encoder(path: str) -> Encoder:
     return Encoder(encode, lambda data: data, CACHE)
 
 
+def batch_ids(texts: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in one array, and where each text begins and ends in it.
+
+    Words of texts whose every space is a single one are told apart once a batch and encoded once; ids are then gathered. The
+    other texts go through the encoder's own pieces."""
+    every = texts.to_pylist()
+    plain = np.array([bool(t) and not _UNSAFE.search(t) for t in every], bool)
+    lists = pc.split_pattern(texts.filter(pa.array(plain)).cast(pa.large_string()), " ")
+    words = lists.flatten()
+    coded = words.dictionary_encode() if len(words) else None
+    codes = coded.indices.to_numpy().astype(np.int64) if coded else np.zeros(0, np.int64)
+    bounds = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+    starts = bounds[:-1] if len(lists) else np.zeros(0, np.int64)
+    known = [" " + w for w in coded.dictionary.to_pylist()] if coded else []
+    made = encoder.encode([*known, *words.take(pa.array(starts)).to_pylist()]) if known else []
+    codes[starts] = len(known) + np.arange(len(starts))  # a text's first word has no space before it
+    rest = [b"".join(parts) for parts in encoder([t for t, ok in zip(every, plain, strict=True) if not ok])]
+    table = np.frombuffer(b"".join([*made, *rest]), "<u4")
+    sizes = np.array([len(m) for m in (*made, *rest)], np.int64) // 4
+    # One entry for each word of a plain text and one for each other text, in the order of the texts.
+    entries = np.ones(len(every), np.int64)
+    entries[plain] = np.diff(bounds) if len(lists) else 0
+    last = np.cumsum(entries)
+    order = np.empty(int(last[-1]) if len(last) else 0, np.int64)
+    other = np.ones(len(order), bool)
+    whole = last[~plain] - 1
+    other[whole] = False
+    order[other], order[whole] = codes, len(made) + np.arange(len(whole))
+    length = sizes[order]
+    ends = np.cumsum(length)
+    ids = table[np.repeat((np.cumsum(sizes) - sizes)[order] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    return ids, np.concatenate([[0], ends[last - 1]]) if len(last) else np.zeros(1, np.int64)
+
+
+def _documents(texts: pa.Array, encoder: Encoder, step: int = 1024) -> Iterator[bytes]:
+    for at in range(0, len(texts), step):
+        ids, bounds = batch_ids(texts.slice(at, step), encoder)
+        data = ids.tobytes()
+        yield from (data[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+
+
 def tokenised(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, closing: int = 0, groups: int = 1) -> DataFrame:
     """Pieces: _id, start, length, ids_crc32, doc_tokens and the group each is dealt to."""
     end = np.array([closing], "<u4").tobytes()
@@ -145,8 +187,8 @@ def tokenised(docs: DataFrame, *, path: str, id_col: str = "doc_id", text_col: s
         encoder, task, made = shared_encoder(("library", path), lambda: _library_encoder(path)), TaskContext.get().partitionId(), 0
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
-            for i, parts in enumerate(encoder(batch.column(1).to_pylist())):
-                data = b"".join([*parts, end])
+            for i, data in enumerate(_documents(batch.column(1), encoder)):
+                data += end
                 n = len(data) // 4
                 for at in range(0, n, capacity):
                     size = min(capacity, n - at)

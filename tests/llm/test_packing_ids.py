@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from ledgerline.llm import packing
@@ -16,8 +17,14 @@ def test_ids_are_the_librarys():
     path = public_tokenizers.path("byte_bpe_50k.json")
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True
-    got = [np.frombuffer(b"".join(parts), "<u4").tolist() for parts in packing._library_encoder(path)(TEXTS)]
-    assert got == [made.encode(t, add_special_tokens=False).ids for t in TEXTS]
+    want = [made.encode(t, add_special_tokens=False).ids for t in TEXTS]
+    encoder = packing._library_encoder(path)
+    assert [np.frombuffer(b"".join(parts), "<u4").tolist() for parts in encoder(TEXTS)] == want
+    for step in (1, 4, 1000):
+        got = packing._documents(pa.array([*TEXTS, None, *TEXTS], pa.string()), encoder, step)
+        assert [np.frombuffer(d, "<u4").tolist() for d in got] == [*want, [], *want]
+    assert list(packing._documents(pa.array([], pa.string()), encoder)) == []
+    assert list(packing._documents(pa.array([None, ""], pa.string()), encoder)) == [b"", b""]
     assert packing._rank_encoding(path) is not None
 
 
