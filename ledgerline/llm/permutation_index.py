@@ -4,8 +4,11 @@ Fit. ``pivots`` vectors of a bounded sample (those whose ids hash lowest, distin
 A vector is represented by its ``prefix`` nearest pivots in order. Index: every block of vectors posts
 (pivot -> rows, position) in inverted files. A query reads the files of its own nearest pivots and
 accumulates the footrule distance over them; a pivot missing from a prefix counts as position
-``prefix``. The rows of a block with the smallest distance, ``share`` of it (at least
-``least``), are reranked by exact cosine on the original vectors in double precision.
+``prefix``. Equal directions of a block are one entry of its index. The entries with the smallest
+distance, as many as ``share`` of the block's rows (at least ``least``) and all that tie with the last of
+them, are expanded to their vectors and reranked by exact cosine on the originals in double precision.
+Equal vectors are scored once and stand for their rows in order of id, so copies take no places
+from others and none is lost to the cut, however large their group.
 
 Every vector is indexed; only the pivots come from a sample. Blocks are shards of the index, so
 index and search are one pass over pairs of blocks and the candidate share holds at every size.
@@ -43,12 +46,84 @@ def prefixes(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.take_along_axis(part, order, 1)
 
 
-def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosines of the original vectors in double precision; scaled first only where squares overflow or vanish."""
-    size = np.sqrt((rows * rows).sum(1)) * np.sqrt((query * query).sum())
-    if np.isfinite(size).all() and (size > 1e-300).all():
-        return rows @ query / size
-    return unit(rows) @ unit(query[None, :])[0]
+def lengths(rows: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", under="ignore"):
+        return np.sqrt((rows * rows).sum(1))
+
+
+def cosines(rows: np.ndarray, query: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Cosines of the original vectors in double precision; scaled first only where squares overflow or vanish.
+
+    Each row is summed by itself, so equal rows score the same wherever they stand (a matrix product
+    may differ in the last bit by place, and ties would not go to the smaller id)."""
+    with np.errstate(over="ignore", under="ignore", divide="ignore", invalid="ignore"):
+        size = (lengths(rows) if known is None else known) * lengths(query[None, :])[0]
+        out = (rows * query).sum(1) / size
+    odd = ~(np.isfinite(size) & (size > 1e-300))
+    if odd.any():
+        out[odd] = (unit(rows[odd]) * unit(query[None, :])[0]).sum(1)
+    return out
+
+
+def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group number of each row of equal rows, and the first row of each group."""
+    _, first, group = np.unique(key + 0.0, axis=0, return_index=True, return_inverse=True)
+    return group.reshape(-1), first
+
+
+def ragged(order: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members of the groups ``which`` (group g holds ``order[starts[g]:starts[g + 1]]``), and the place in ``which`` of each."""
+    size = starts[which + 1] - starts[which]
+    place = np.repeat(np.arange(len(which)), size)
+    return order[np.repeat(starts[which] - np.cumsum(size) + size, size) + np.arange(size.sum())], place
+
+
+def members(group: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(group, kind="stable")
+    return order, np.concatenate(([0], np.cumsum(np.bincount(group, minlength=count))))
+
+
+class Block:
+    """One block of candidates: distinct vectors with their ids, and an index of their distinct directions.
+
+    Of each vector only rows that can be among ``k`` results are kept: ``k`` rows of an id, and the
+    first ``2 * k`` rows by id, which hold ``k`` rows besides those of any one query id."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray | None, prefix: int, k: int):
+        group, first = groups(x)
+        self.vectors, self.size, self.k = x[first], len(ids), k
+        self.lengths = lengths(self.vectors)
+        order = np.lexsort((ids, group))
+        for same, most in (((ids,), k), ((), 2 * k)):
+            keys = [group[order], *(s[order] for s in same)]
+            new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in keys], axis=0)))
+            at = np.arange(len(order))
+            order = order[at - np.maximum.accumulate(np.where(new, at, 0)) < most]
+        self.ids, self.starts = ids[order], np.concatenate(([0], np.cumsum(np.bincount(group[order], minlength=len(first)))))
+        self.shard = None
+        if pivots is not None:
+            ways = unit(self.vectors)
+            way, one = groups(ways.round(12))
+            self.shard, self.ways = Shard(ways[one], pivots, prefix), members(way, len(one))
+        self.single = len(self.ids) == len(self.vectors)  # then ``ids`` are in the order of ``vectors``
+
+    def search(self, query_id: int, query: np.ndarray, ranked: np.ndarray | None, take: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the best ``k`` rows found."""
+        near = np.arange(len(self.vectors))
+        if self.shard and take < self.shard.rows:
+            distance = self.shard.distances(ranked)
+            near = np.flatnonzero(distance <= np.partition(distance, take - 1)[take - 1])
+            near = self.ways[0][near] if self.shard.rows == len(self.vectors) else ragged(*self.ways, near)[0]
+        score = cosines(self.vectors[near], query, self.lengths[near])
+        if self.single:
+            ids = self.ids[near]
+        else:
+            rows, place = ragged(np.arange(len(self.ids)), self.starts, near)
+            ids, score = self.ids[rows], score[place]
+        other = ids != query_id
+        ids, score = ids[other], score[other]
+        top = np.lexsort((ids, -score))[: self.k]
+        return ids[top], score[top]
 
 
 class Shard:
@@ -96,24 +171,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     pairs = pair(pack(queries.filter(nonzero).select(id_col, vector_col).distinct(), id_col, vector_col, size=512), pack(vectors.filter(nonzero), id_col, vector_col), cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[tuple[bytes, bytes], Shard | None, np.ndarray, np.ndarray] | None = None
+        kept: tuple[tuple[bytes, bytes], Block] | None = None
         for batch in batches:
             for q_ids, q, c_ids, c, dim in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 qi, qv = unpack(q_ids, q, dim)
                 if kept is None or kept[0] != (c_ids, c):  # a shard's index serves all query blocks that meet it in turn
-                    ci, cv = unpack(c_ids, c, dim)
-                    kept = ((c_ids, c), Shard(unit(cv), chosen, prefix) if dim == chosen.shape[1] and len(chosen) else None, ci, cv)
-                _, shard, ci, cv = kept
-                ranked = prefixes(unit(qv), chosen, prefix) if shard else None
+                    # Other dimensions than the pivots' are searched in full.
+                    kept = ((c_ids, c), Block(*unpack(c_ids, c, dim), chosen if dim == chosen.shape[1] and len(chosen) else None, prefix, k))
+                block = kept[1]
+                ranked = prefixes(unit(qv), chosen, prefix) if block.shard else None
                 rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                take = min(len(ci), max(least, int(np.ceil(share * len(ci)))))
+                take = max(least, int(np.ceil(share * block.size)))
                 for i in range(len(qi)):
-                    # Other dimensions than the pivots' are searched in full.
-                    near = np.argpartition(shard.distances(ranked[i]), take - 1)[:take] if shard and take < len(ci) else np.arange(len(ci))
-                    near = near[ci[near] != qi[i]]
-                    score = cosines(cv[near], qv[i])
-                    top = np.lexsort((ci[near], -score))[:k]
-                    rows.append((np.full(len(top), qi[i]), ci[near][top], score[top]))
+                    found, score = block.search(qi[i], qv[i], ranked[i] if block.shard else None, take)
+                    rows.append((np.full(len(found), qi[i]), found, score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[j] for r in rows])) for j in range(3)], names=["query_id", "vec_id", "score"])
 
     return best(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), k)
