@@ -58,3 +58,15 @@ def test_equal_rows_score_the_same_wherever_they_stand():
             x[-1] = 1e200
             found = permutation_index.cosines(x, query)
             assert set(found[:-1].tolist()) == set(permutation_index.cosines(row, query).tolist()) and np.isfinite(found).all()
+
+
+def test_recall_on_full_shards_with_copies_over_the_cut(spark):
+    rng = np.random.default_rng(14)
+    x, ids = rng.normal(size=(8192, 64)), rng.permutation(8192)
+    x[:4096] = clustered(rng, 4096)
+    copies = rng.permutation(8192)[:2730]
+    x[copies] = x[copies[0]]
+    plain = np.setdiff1d(ids, ids[copies])
+    found = {name: recall(spark, x, ids, some.tolist()) for name, some in (("in the group", rng.permutation(ids[copies])[:30]), ("others", rng.permutation(plain)[:170]))}
+    print(found)
+    assert found["in the group"] == 1.0 and found["others"] >= 0.9
