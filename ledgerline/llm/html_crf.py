@@ -3,6 +3,9 @@
 Parse. One pass over the tags keeps a stack of open elements. Text between two block-level tags
 under the same elements is a leaf block; inline tags don't cut it. Scripts, styles, comments and
 other unseen elements give no text; character references are decoded; white space becomes one space.
+An unseen element without an end tag inside its parent hides nothing but its start tag (a script or a
+style: the rest of its parent), and <svg/> and <math/> are empty. The head needs no end: what it may
+hold is unseen by itself, and anything else begins the body.
 
 Features of a block: every ancestor tag; word pieces of ancestors' class, id and role; the
 parent tag; buckets of length, link share and closing mark; signs of notices; place on the page. Labels:
@@ -34,12 +37,13 @@ from ledgerline.llm.common import with_text
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+")
-UNSEEN = frozenset("script style noscript template head title svg math iframe object select textarea button canvas audio video map".split())
-_RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
+UNSEEN = frozenset("script style noscript noframes template title svg math iframe object select textarea button canvas audio video map".split())
+_RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "noframes", "iframe")}
 BLOCKS = frozenset("p div li ul ol dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption section article header footer nav aside main form fieldset blockquote pre figure figcaption address hr body html details summary center".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 #: Elements that the opening of the key closes, if they are open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_FOREIGN = frozenset(("svg", "math"))
 _SCOPES = frozenset("ul ol dl table tr body html article section div nav aside main header footer form blockquote td th figure".split())
 _P_ENDS = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dt", "dd", "figcaption", "summary"} | {"p"}
 
@@ -84,6 +88,7 @@ def blocks(page: str | None) -> list[Block]:
         del stack[to:]
 
     at, size = 0, len(page)
+    unseen: dict[int, int] | None = None
     while at < size:
         m = _TAG.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
@@ -107,13 +112,13 @@ def blocks(page: str | None) -> list[Block]:
                 in_link = 0
             continue
         if tag in UNSEEN:
-            if tag in _RAW:
-                end = _RAW[tag].search(page, at)
-                at = end.end() if end else size
-            else:
-                at = _skip(page, at, tag)
+            if unseen is None:
+                unseen = _unseen_ends(page)
+            at = unseen.get(m.start(), at)
             parts.append(" ") if tag in ("svg", "select", "button") else None
             continue
+        if tag == "head":
+            continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 flush() if tag == "hr" else parts.append(" ")
@@ -137,14 +142,63 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def _skip(page: str, at: int, tag: str) -> int:
-    """The end of an unseen element that may hold others of its name."""
-    depth = 1
-    for m in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return len(page)
+def _empty(tag: str, attributes: str, foreign: int) -> bool:
+    """Whether a start tag is a whole element: in and of foreign elements only, and not by a slash in an unquoted value."""
+    return (tag in _FOREIGN or foreign > 0) and attributes.endswith("/") and not re.search(r"""=\s*[^\s"'>]+\Z""", attributes)
+
+
+def _unseen_ends(page: str) -> dict[int, int]:
+    """By the start of its tag, the end of each unseen element that ends inside its parent.
+
+    One pass with a stack of containers and unseen elements: an end tag closes what is open above it,
+    and unseen elements closed so have no end of their own. Of raw text without an end tag, scripts and
+    styles end with their parent or the page, and a title with the head."""
+    out: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []
+    counts: dict[str, int] = {}
+    endless: set[str] = set()  # raw text elements with no end tag from here on
+    foreign = at = 0
+
+    def leave(tag: str) -> int:
+        """Closes the innermost ``tag`` and what is open above it; the start of its tag."""
+        nonlocal foreign
+        while True:
+            name, start = open_.pop()
+            counts[name] -= 1
+            foreign -= name in _FOREIGN
+            if name == tag:
+                return start
+
+    while m := _TAG.search(page, at):
+        at = m.end()
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if tag not in UNSEEN and tag not in _SCOPES:
+            continue
+        if m[1]:
+            if counts.get(tag):
+                start = leave(tag)
+                if tag in UNSEEN:
+                    out[start] = at
+            continue
+        if _empty(tag, m[3], foreign):
+            out[m.start()] = at
+            continue
+        if tag in _RAW and not (foreign and tag == "title"):
+            end = None if tag in endless else _RAW[tag].search(page, at)
+            if end:
+                at = out[m.start()] = end.end()
+                continue
+            endless.add(tag)
+            stop = re.compile("|".join((r"</head\b|<body\b", *(rf"</{t}\b" for t, n in counts.items() if n and tag != "title"))), re.I).search(page, at) if tag in ("script", "style", "title") else None
+            if stop or tag in ("script", "style"):
+                out[m.start()] = at = stop.start() if stop else len(page)
+            continue
+        open_.append((tag, m.start()))
+        counts[tag] = counts.get(tag, 0) + 1
+        foreign += tag in _FOREIGN
+    return out
 
 
 _NOTICE = re.compile(r"©|\(c\) |copyright|all rights|cookie|privacy|subscribe|newsletter|sign up|log in|advert|sponsor|share this|read more|related|comments?\b|reply", re.I)
