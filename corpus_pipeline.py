@@ -2,8 +2,8 @@
 group of near duplicates, redact secrets, pack into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the last return
-the columns of ``documents``. Rows with a null id cannot be named as duplicates, so the
-near-duplicate stage keeps them; of rows that repeat an id it keeps one.
+the columns of ``documents``. The near-duplicate stage groups rows by their texts alone, whether ids
+repeat or are null, and keeps one row of each group: that of the smallest id, null ids last.
 """
 
 from __future__ import annotations
@@ -32,10 +32,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs.filter("doc_id is not null"))
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    one = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    # The key settles the row by its values alone, so it is the same in every scan; rows of one key are exact copies.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text").isNull().alias("empty"), F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"))
+    keyed = docs.withColumn("_key", key)
+    groups = simhash.near_duplicates(keyed, id_col="_key")
+    keep = groups.filter(F.col("_key") == F.col("component_id")).select(F.col("_key").alias("_keep")).distinct()
+    return keyed.join(keep, F.col("_key") == F.col("_keep"), "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
