@@ -1,25 +1,27 @@
 """Approximate nearest neighbours by a permutation index.
 
 Fit. ``pivots`` vectors of a bounded sample (those whose ids hash lowest, distinct) are the pivots.
-A vector is represented by its ``prefix`` nearest pivots in order. Index: every block of vectors posts
-(pivot -> rows, position) in inverted files. A query reads the files of its own nearest pivots and
-accumulates the footrule distance over them; a pivot missing from a prefix counts as position
-``prefix``. Equal directions of a block are one entry of its index. The entries with the smallest
-distance, as many as ``share`` of the block's rows (at least ``least``) and all that tie with the last of
-them, are expanded to their vectors and reranked by exact cosine on the originals in double precision.
-Equal vectors are scored once and stand for their rows in order of id, so copies take no places
-from others and none is lost to the cut, however large their group.
-
-Every vector is indexed; only the pivots come from a sample. Blocks are shards of the index, so
-index and search are one pass over pairs of blocks and the candidate share holds at every size.
-Recall at 5 against brute force is measured in the tests (and must be 0.9 or more).
-
-Vectors that are null, empty, zero or hold a null or non-finite component take no part; a query's own
-rows are no candidates; ties go to the smaller id; extra columns are ignored.
+A vector is represented by its ``prefix`` nearest pivots in order. Index: every vector is indexed; a shard is a block of
+vectors whose distinct directions are posted (pivot -> directions, position) in inverted files, made once and written
+to the shared folder. A query reads the files of its own nearest pivots and accumulates the footrule
+distance over them; a pivot missing from a prefix counts as position ``prefix``, so only shared pivots need a
+visit. The directions with the smallest distance are expanded to their vectors and reranked by exact cosine on
+the originals in double precision: of a shard of n directions ``breadth`` * sqrt(n), by the same rule at every
+size, and all that tie with the last of them. Equal vectors are scored once and stand for their rows in order of
+id, so copies take no places from others and none is lost to the cut, however large their group.
+
+Only the pivots come from a sample. Recall at 5 against brute force is measured in the tests (and must be 0.9 or more).
+
+Vectors that are null, empty, zero or hold a null or non-finite component take no part; a query's own id is no
+candidate; ties go to the smaller id. A query is an id and a vector: rows that repeat both get one answer, rows that repeat
+an id with other vectors one each. Vectors of other dimensions than the pivots' are searched in full. An empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.vectors import best, pack, pair, unpack, usable
+from ledgerline.llm.common import cut
+from ledgerline.llm.vectors import Best, best, grid, pack, pair, unpack, usable
 
-PIVOTS, PREFIX, SHARE, LEAST = 256, 64, 0.15, 256
+PIVOTS, PREFIX, BREADTH, SHARD = 1024, 56, 7.0, 8192
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -83,15 +86,15 @@ def members(group: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([0], np.cumsum(np.bincount(group, minlength=count))))
 
 
-class Block:
-    """One block of candidates: distinct vectors with their ids, and an index of their distinct directions.
+class Shard:
+    """One block of candidates: distinct vectors with their ids, and the inverted files of their distinct directions.
 
     Of each vector only rows that can be among ``k`` results are kept: ``k`` rows of an id, and the
     first ``2 * k`` rows by id, which hold ``k`` rows besides those of any one query id."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray | None, prefix: int, k: int):
         group, first = groups(x)
-        self.vectors, self.size, self.k = x[first], len(ids), k
+        self.vectors = x[first]
         self.lengths = lengths(self.vectors)
         order = np.lexsort((ids, group))
         for same, most in (((ids,), k), ((), 2 * k)):
@@ -100,91 +103,113 @@ class Block:
             at = np.arange(len(order))
             order = order[at - np.maximum.accumulate(np.where(new, at, 0)) < most]
         self.ids, self.starts = ids[order], np.concatenate(([0], np.cumsum(np.bincount(group[order], minlength=len(first)))))
-        self.shard = None
+        self.files = None
         if pivots is not None:
             ways = unit(self.vectors)
             way, one = groups(ways.round(12))
-            self.shard, self.ways = Shard(ways[one], pivots, prefix), members(way, len(one))
-        self.single = len(self.ids) == len(self.vectors)  # then ``ids`` are in the order of ``vectors``
+            self.ways = members(way, len(one))
+            self.files = Files(ways[one], pivots, prefix)
 
-    def search(self, query_id: int, query: np.ndarray, ranked: np.ndarray | None, take: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query_id: int, query: np.ndarray, ranked: np.ndarray | None, breadth: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the best ``k`` rows found."""
         near = np.arange(len(self.vectors))
-        if self.shard and take < self.shard.rows:
-            distance = self.shard.distances(ranked)
-            near = np.flatnonzero(distance <= np.partition(distance, take - 1)[take - 1])
-            near = self.ways[0][near] if self.shard.rows == len(self.vectors) else ragged(*self.ways, near)[0]
+        if self.files:
+            near = self.files.nearest(ranked, max(k, math.ceil(breadth * math.sqrt(self.files.rows))))
+            near = self.ways[0][near] if self.files.rows == len(self.vectors) else ragged(*self.ways, near)[0]
         score = cosines(self.vectors[near], query, self.lengths[near])
-        if self.single:
+        if len(self.ids) == len(self.vectors):  # then ``ids`` are in the order of ``vectors``
             ids = self.ids[near]
         else:
             rows, place = ragged(np.arange(len(self.ids)), self.starts, near)
             ids, score = self.ids[rows], score[place]
         other = ids != query_id
         ids, score = ids[other], score[other]
-        top = np.lexsort((ids, -score))[: self.k]
+        if len(ids) > 4 * k:
+            high = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+            ids, score = ids[high], score[high]
+        top = np.lexsort((ids, -score))[:k]
         return ids[top], score[top]
 
 
-class Shard:
-    """Inverted files of one block: for each pivot the rows that have it, and at which position."""
+class Files:
+    """Inverted files: for each pivot the rows that have it, and at which position."""
 
     def __init__(self, x: np.ndarray, pivots: np.ndarray, prefix: int):
         ranked = prefixes(x, pivots, prefix)
         self.prefix, self.rows = ranked.shape[1], len(x)
         flat = ranked.ravel()
         order = np.argsort(flat, kind="stable")
-        ends = np.cumsum(np.bincount(flat, minlength=len(pivots)))
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=len(pivots)))))
         row, position = np.divmod(order, self.prefix)
-        self.files = [(row[a:b], position[a:b].astype(np.float32)) for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True)]
+        self.row, self.position = row.astype(np.int32), position.astype(np.int16)
+
+    def closeness(self, ranked: np.ndarray) -> np.ndarray:
+        """Half of what each row's footrule distance to one query's ordered pivots falls short of the disjoint case.
 
-    def distances(self, ranked: np.ndarray) -> np.ndarray:
-        """Footrule distance of one query's ordered pivots to every row, up to a constant.
+        With a missing pivot at position m on either side, a pivot at i here and j there lowers the distance by
+        (m-i)+(m-j)-|i-j|, which is twice m - max(i, j)."""
+        spans = [slice(a, b) for a, b in zip(self.starts[ranked].tolist(), self.starts[ranked + 1].tolist(), strict=True)]
+        rows, position = (np.concatenate([x[s] for s in spans]) for x in (self.row, self.position))
+        own = np.repeat(np.arange(len(ranked), dtype=np.int16), self.starts[ranked + 1] - self.starts[ranked])
+        return np.bincount(rows, self.prefix - np.maximum(own, position), self.rows).astype(np.int64)
 
-        A missing pivot counts as position ``prefix`` on either side; only shared pivots need a
-        visit: each lowers the distance from the disjoint case by (m-i)+(m-j)-|i-j|."""
-        m = self.prefix
-        out = np.zeros(self.rows, np.float32)
-        for i, p in enumerate(ranked):
-            rows, position = self.files[p]
-            out[rows] -= (m - i) + (m - position) - np.abs(position - i)
-        return out
+    def nearest(self, ranked: np.ndarray, take: int) -> np.ndarray:
+        """The ``take`` rows of smallest footrule distance, and all that tie with the last of them."""
+        if take >= self.rows:
+            return np.arange(self.rows)
+        close = self.closeness(ranked)
+        at_least = np.cumsum(np.bincount(close)[::-1])  # closeness is a small whole number: rows by it, from the highest
+        return np.flatnonzero(close >= len(at_least) - 1 - int(np.searchsorted(at_least, take)))
 
 
 def choose_pivots(vectors: DataFrame, id_col: str, vector_col: str, pivots: int = PIVOTS) -> np.ndarray:
     """At most ``pivots`` distinct directions of the commonest dimension, from the lowest id hashes."""
     kept = vectors.filter(usable(vector_col) & F.exists(vector_col, lambda x: x != 0))
-    rows = kept.select(F.col(vector_col).cast("array<double>").alias("v")).orderBy(F.xxhash64(F.lit(5), F.col(id_col)), F.col(id_col)).limit(4 * pivots).collect()
+    rows = kept.select(F.col(vector_col).cast("array<double>").alias("v")).orderBy(F.xxhash64(F.lit(5), F.col(id_col)), F.col(id_col)).limit(4 * pivots).toArrow().column(0).to_pylist()
     if not rows:
         return np.zeros((0, 1))
-    dims = [len(r[0]) for r in rows]
+    dims = [len(r) for r in rows]
     dim = max(sorted(set(dims)), key=dims.count)
-    found = np.unique(unit(np.array([r[0] for r in rows if len(r[0]) == dim])).round(12), axis=0)
+    found = np.unique(unit(np.array([r for r in rows if len(r) == dim])).round(12), axis=0)
     return found[np.random.default_rng(5).permutation(len(found))[:pivots]]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST, cells: int | None = None) -> DataFrame:
+def index(vectors: DataFrame, chosen: np.ndarray, *, id_col: str, vector_col: str, prefix: int, k: int, shard: int) -> DataFrame:
+    """One row a shard: its vectors, ids and inverted files as bytes, with dim, n and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data, n, dim, block in zip(*(batch.column(c).to_pylist() for c in ("ids", "data", "n", "dim", "block")), strict=True):
+                made = Shard(*unpack(ids, data, dim), chosen if len(chosen) and dim == chosen.shape[1] else None, prefix, k)
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made, pickle.HIGHEST_PROTOCOL)], pa.binary()), pa.array([n], pa.int32()), pa.array([dim], pa.int32()), pa.array([block], pa.int64())], names=["shard", "n", "dim", "block"])
+
+    return pack(vectors, id_col, vector_col, size=shard).mapInArrow(run, "shard binary, n int, dim int, block long")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, pivots: int = PIVOTS, prefix: int = PREFIX, breadth: float = BREADTH, shard: int = SHARD, cells: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score (cosine) of the ``k`` nearest found for each row of ``queries``."""
     cells = cells or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nonzero = F.exists(vector_col, lambda x: x != 0)
     chosen = choose_pivots(vectors, id_col, vector_col, pivots)
-    pairs = pair(pack(queries.filter(nonzero).select(id_col, vector_col).distinct(), id_col, vector_col, size=512), pack(vectors.filter(nonzero), id_col, vector_col), cells)
+    asked = cut(pack(queries.filter(nonzero).select(id_col, F.col(vector_col).cast("array<double>").alias(vector_col)).distinct(), id_col, vector_col, size=512))
+    indexed = cut(index(vectors.filter(nonzero), chosen, id_col=id_col, vector_col=vector_col, prefix=prefix, k=k, shard=shard))
+    (q_blocks, q_rows), (c_blocks, c_rows) = (df.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first() for df in (asked, indexed))
+    pairs = pair(asked, indexed, grid(cells, q_rows, c_rows, q_blocks, c_blocks), ["shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[tuple[bytes, bytes], Block] | None = None
+        now, found = None, None
         for batch in batches:
-            for q_ids, q, c_ids, c, dim in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                qi, qv = unpack(q_ids, q, dim)
-                if kept is None or kept[0] != (c_ids, c):  # a shard's index serves all query blocks that meet it in turn
-                    # Other dimensions than the pivots' are searched in full.
-                    kept = ((c_ids, c), Block(*unpack(c_ids, c, dim), chosen if dim == chosen.shape[1] and len(chosen) else None, prefix, k))
-                block = kept[1]
-                ranked = prefixes(unit(qv), chosen, prefix) if block.shard else None
-                rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                take = max(least, int(np.ceil(share * block.size)))
-                for i in range(len(qi)):
-                    found, score = block.search(qi[i], qv[i], ranked[i] if block.shard else None, take)
-                    rows.append((np.full(len(found), qi[i]), found, score))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[j] for r in rows])) for j in range(3)], names=["query_id", "vec_id", "score"])
-
-    return best(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), k)
+            for q_block, q_ids, q_keys, q, dim, data in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if now != q_block:
+                    if found is not None:
+                        yield found.rows(qi, keys)
+                    qi, qv = unpack(q_ids, q, dim)
+                    now, keys, found = q_block, np.frombuffer(q_keys, np.int64), Best(len(qi), k, float)
+                    ranked = prefixes(unit(qv), chosen, prefix) if len(chosen) and dim == chosen.shape[1] else None
+                searched: Shard = pickle.loads(data)
+                rows = [searched.search(qi[i], qv[i], ranked[i] if searched.files else None, breadth, k) for i in range(len(qi))]
+                found.add(np.repeat(np.arange(len(qi)), [len(r[0]) for r in rows]), np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))
+        if found is not None:
+            yield found.rows(qi, keys)
+
+    return best(pairs.mapInArrow(run, "query_id long, query_key long, vec_id long, score double"), k)

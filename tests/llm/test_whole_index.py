@@ -1,4 +1,4 @@
-"""The permutation index on full shards of 2,048 rows, where the share and not the floor decides the cut."""
+"""The permutation index on full shards of 2,048 rows, each of which exceeds a query's budget of candidates."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ def shards(spark, x, ids):
 def recall(spark, x, ids, queries):
     """Share of the exact five nearest, by id with ties to the smaller, that are found."""
     df = shards(spark, x, ids)
-    out = permutation_index.nearest(df, df.filter(F.col("vec_id").isin([int(q) for q in queries])), k=5).collect()
+    out = permutation_index.nearest(df, df.filter(F.col("vec_id").isin([int(q) for q in queries])), k=5, shard=2048, pivots=256).collect()
     found = {(r.query_id, r.vec_id) for r in out}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
