@@ -3,8 +3,9 @@
 Parse. One pass over the tags keeps a stack of open elements. Text between two block-level tags
 under the same elements is a leaf block; inline tags don't cut it. Scripts, styles, comments and
 other unseen elements give no text; character references are decoded; white space becomes one space.
-An unseen element without an end tag inside its parent hides nothing but its start tag (a script or a
-style: the rest of its parent), and <svg/> and <math/> are empty. The head needs no end: what it may
+Attributes are read by the states of the HTML standard's tokeniser. An unseen element without an end tag inside its
+parent hides nothing but its start tag (a script or a style: the rest of its parent), and <svg/> is empty. Formulas and
+what stands in for an object are text like any other. The head needs no end: what it may
 hold is unseen by itself, and anything else begins the body.
 
 Features of a block: every ancestor tag; word pieces of ancestors' class, id and role; the
@@ -34,16 +35,20 @@ from pyspark.sql import DataFrame
 
 from ledgerline.llm.common import with_text
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# Attributes by the states of the HTML standard's tokeniser: a quote opens a value only right after the equals sign, an unquoted value
+# ends at white space or the closing angle, and a quote without its pair opens nothing. Possessive, so that no page makes it go back.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?>\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+_TAG = re.compile(rf"""<!--(?>-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![A-Za-z])[^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?>[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)""", re.S)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?>"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _WORD = re.compile(r"[a-z]+")
-UNSEEN = frozenset("script style noscript noframes template title svg math iframe object select textarea button canvas audio video map".split())
+UNSEEN = frozenset("script style noscript noframes template title svg iframe select textarea button canvas audio video map".split())
 _RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "noframes", "iframe")}
+_AFTER_HEAD = re.compile(r"</head\b|<body\b", re.I)
 BLOCKS = frozenset("p div li ul ol dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption section article header footer nav aside main form fieldset blockquote pre figure figcaption address hr body html details summary center".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 #: Elements that the opening of the key closes, if they are open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_FOREIGN = frozenset(("svg", "math"))
+_FOREIGN = frozenset(("svg",))
 _SCOPES = frozenset("ul ol dl table tr body html article section div nav aside main header footer form blockquote td th figure".split())
 _P_ENDS = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dt", "dd", "figcaption", "summary"} | {"p"}
 
@@ -53,23 +58,69 @@ Block = tuple[str, frozenset[str], str, int, int]  # text, ancestor features, pa
 @lru_cache(maxsize=4096)
 def _own_features(tag: str, attributes: str) -> tuple[str, ...]:
     out = [f"in:{tag}"] if tag in BLOCKS else []
-    if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or "hidden" in attributes or "style" in attributes):
-        for name, a, b, c in _ATTR.findall(attributes):
-            value = (a or b or c).lower()
-            if name.lower() in ("class", "id", "role", "itemprop"):
+    if attributes and any(name in attributes.lower() for name in ("class", "id", "role", "itemprop", "hidden", "style")):
+        for m in _ATTR.finditer(attributes):
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name in ("class", "id", "role", "itemprop"):
                 out += [f"is:{w}" for w in _WORD.findall(value)]
-            elif name.lower() == "style" and "none" in value and "display" in value or name.lower() == "aria-hidden" and value == "true":
+            elif name == "hidden" or name == "style" and "none" in value and "display" in value or name == "aria-hidden" and value == "true":
                 out.append("is:hidden")
-        if re.search(r"\bhidden\b(?!\s*=)", attributes):
-            out.append("is:hidden")
     return tuple(out)
 
 
-def blocks(page: str | None) -> list[Block]:
+class _Open:
+    """The open elements: tag, features of the element and its ancestors, and its innermost block-level tag.
+
+    Places by name, over all and by container, find what an end tag or a start tag closes without a search."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known = known
+        self.stack: list[tuple[str, frozenset[str], str]] = [("", frozenset(), "")]
+        self.places: dict[str, list[int]] = {}
+        self.containers: list[tuple[str, dict[str, list[int]]]] = [("", {})]
+
+    def push(self, tag: str, attributes: str) -> None:
+        _, above, block = self.stack[-1]
+        more = _own_features(tag, attributes)
+        if self.known is not None:
+            more = [f for f in more if f in self.known and f not in above]
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.containers[-1][1].setdefault(tag, []).append(len(self.stack))
+        if tag in _SCOPES:
+            self.containers.append((tag, {}))
+        self.stack.append((tag, above.union(more) if more else above, tag if tag in BLOCKS else block))
+
+    def close(self, to: int) -> None:
+        """Closes all from place ``to`` on."""
+        while len(self.stack) > to:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in _SCOPES:
+                self.containers.pop()
+            self.containers[-1][1][tag].pop()
+
+    def end(self, tag: str) -> None:
+        if places := self.places.get(tag):
+            self.close(places[-1])
+
+    def start(self, ends: frozenset[str] | set[str]) -> None:
+        """Closes the elements of ``ends`` that are open in the same container; a container among them opens the one above."""
+        while True:
+            name, here = self.containers[-1]
+            first = [here[t][0] for t in ends if here.get(t)]
+            if first:
+                self.close(min(first))
+            if name not in ends:
+                return
+            self.close(self.places[name][-1])
+
+
+def blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page; of ancestor features only those in ``known``, where given."""
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    opened = _Open(known)
     parts: list[str] = []
     linked, in_link = 0, 0
 
@@ -79,14 +130,10 @@ def blocks(page: str | None) -> list[Block]:
             text = "".join(parts)
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                inner = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-                out.append((text, stack[-1][1], inner, linked, text.count(" ") + 1))
+                out.append((text, opened.stack[-1][1], opened.stack[-1][2], linked, text.count(" ") + 1))
             parts.clear()
         linked = 0
 
-    def close(to: int) -> None:
-        del stack[to:]
-
     at, size = 0, len(page)
     unseen: dict[int, int] | None = None
     while at < size:
@@ -103,11 +150,9 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if tag in BLOCKS:
                 flush()
-            if where:
-                close(where)
+            opened.end(tag)
             if tag == "a":
                 in_link = 0
             continue
@@ -127,24 +172,23 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             in_link = 0
         if tag in _P_ENDS or tag in CLOSES:
-            ends = CLOSES.get(tag, set()) | ({"p"} if tag in _P_ENDS else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                elif stack[i][0] in _SCOPES:
-                    break
+            opened.start(CLOSES.get(tag, set()) | ({"p"} if tag in _P_ENDS else set()))
         if tag == "a":
             in_link = 1
-        if not m[3].rstrip().endswith("/"):
-            more = _own_features(tag, m[3])
-            stack.append((tag, stack[-1][1].union(more) if more else stack[-1][1]))
+        if not _slashed(m[3]):
+            opened.push(tag, m[3])
     flush()
     return out
 
 
-def _empty(tag: str, attributes: str, foreign: int) -> bool:
-    """Whether a start tag is a whole element: in and of foreign elements only, and not by a slash in an unquoted value."""
-    return (tag in _FOREIGN or foreign > 0) and attributes.endswith("/") and not re.search(r"""=\s*[^\s"'>]+\Z""", attributes)
+def _slashed(attributes: str) -> bool:
+    """Whether a start tag ends by a slash that is no part of an attribute's value."""
+    if not attributes.endswith("/"):
+        return False
+    last = 0
+    for m in _ATTR.finditer(attributes):
+        last = m.end()
+    return last < len(attributes)
 
 
 def _unseen_ends(page: str) -> dict[int, int]:
@@ -182,7 +226,7 @@ def _unseen_ends(page: str) -> dict[int, int]:
                 if tag in UNSEEN:
                     out[start] = at
             continue
-        if _empty(tag, m[3], foreign):
+        if (tag in _FOREIGN or foreign) and _slashed(m[3]):
             out[m.start()] = at
             continue
         if tag in _RAW and not (foreign and tag == "title"):
@@ -190,10 +234,12 @@ def _unseen_ends(page: str) -> dict[int, int]:
             if end:
                 at = out[m.start()] = end.end()
                 continue
-            endless.add(tag)
-            stop = re.compile("|".join((r"</head\b|<body\b", *(rf"</{t}\b" for t, n in counts.items() if n and tag != "title"))), re.I).search(page, at) if tag in ("script", "style", "title") else None
-            if stop or tag in ("script", "style"):
+            if tag in ("script", "style"):
+                stop = re.compile("|".join((_AFTER_HEAD.pattern, *(rf"</{t}\b" for t, n in counts.items() if n))), re.I).search(page, at)
                 out[m.start()] = at = stop.start() if stop else len(page)
+            elif tag == "title" and tag not in endless and (stop := _AFTER_HEAD.search(page, at)):
+                out[m.start()] = at = stop.start()
+            endless.add(tag)
             continue
         open_.append((tag, m.start()))
         counts[tag] = counts.get(tag, 0) + 1
@@ -210,7 +256,7 @@ def local_features(found: list[Block], i: int) -> list[str]:
     within = "in:article" in above or "in:main" in above
     return [
         "bias", f"at:{inner}", f"words:{min(7, words.bit_length())}", f"link:{0 if share < 0.05 else 1 if share < 0.5 else 2}",
-        f"ends:{text[-1] in '.!?:;…\"”»'}", f"notice:{within}:{bool(words < 40 and _NOTICE.search(text[:400]))}", f"first:{i == 0}", f"late:{i * 4 // len(found)}",
+        f"ends:{text[-1] in '.!?:;…\"”»'}", f"notice:{within}:{bool(words < 40 and _NOTICE.search(text))}", f"first:{i == 0}", f"late:{i * 4 // len(found)}",
     ]
 
 
@@ -219,6 +265,8 @@ class Crf:
 
     def __init__(self, weights: dict[str, float], moves: list[list[float]], starts: list[float]):
         self.weights, self.moves, self.starts = weights, moves, starts
+        #: Ancestor features that decoding reads.
+        self.known = frozenset((*weights, "in:article", "in:main"))
         self.ancestors: dict[frozenset[str], float] = {}
 
     def decode(self, found: list[Block]) -> list[int]:
@@ -247,7 +295,7 @@ class Crf:
         return out[::-1]
 
     def extract(self, page: str | None) -> str:
-        found = blocks(page)
+        found = blocks(page, self.known)
         return "\n".join(b[0] for b, y in zip(found, self.decode(found), strict=True) if y)
 
 
@@ -349,32 +397,35 @@ def training_pages(pages: int = 400, seed: int = 7) -> list[tuple[str, set[str]]
     return out
 
 
-def fit(pages: list[tuple[str, set[str]]], *, rounds: int = 150, rate: float = 0.1, ridge: float = 2e-3, least: int = 3) -> Crf:
-    """Maximum likelihood by forward-backward over all pages at once (padded to the longest)."""
-    key = re.compile(r"k(\d+)")
-    rows = []
-    for page, main in pages:
-        found = blocks(page)
-        labels = [int(any(k in main for k in key.findall(b[0]))) for b in found]
-        rows.append(([[*b[1], *local_features(found, i)] for i, b in enumerate(found)], labels))
-    counts: dict[str, int] = {}
-    for features, _ in rows:
-        for f in {f for fs in features for f in fs}:
-            counts[f] = counts.get(f, 0) + 1
-    index = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= least))}
-    n, t = len(rows), max(len(r[1]) for r in rows)
-    flat = [(p * t + i, index[f]) for p, (features, _) in enumerate(rows) for i, fs in enumerate(features) for f in set(fs) if f in index]
-    cell, feature = (np.array(x) for x in zip(*flat, strict=True))
-    y, live = np.zeros((n, t), int), np.zeros((n, t), bool)
-    for p, (_, labels) in enumerate(rows):
-        y[p, : len(labels)], live[p, : len(labels)] = labels, True
-    d = len(index)
-    w, m, v = np.zeros(d + 6), np.zeros(d + 6), np.zeros(d + 6)  # emissions, moves 00 01 10 11, starts 0 1
-    both = live[:, 1:]
-    seen = np.array([(both & (y[:, :-1] == a) & (y[:, 1:] == b)).sum() for a in (0, 1) for b in (0, 1)] + [(live[:, 0] & (y[:, 0] == a)).sum() for a in (0, 1)], float)
-    for step in range(1, rounds + 1):
+class Chains:
+    """Labelled pages as padded arrays, and the loss of weights over them."""
+
+    def __init__(self, pages: list[tuple[str, set[str]]], least: int):
+        key = re.compile(r"k(\d+)")
+        rows = []
+        for page, main in pages:
+            found = blocks(page)
+            labels = [int(any(k in main for k in key.findall(b[0]))) for b in found]
+            rows.append(([[*b[1], *local_features(found, i)] for i, b in enumerate(found)], labels))
+        counts: dict[str, int] = {}
+        for features, _ in rows:
+            for f in {f for fs in features for f in fs}:
+                counts[f] = counts.get(f, 0) + 1
+        self.index = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= least))}
+        self.n, self.t = len(rows), max(len(r[1]) for r in rows)
+        flat = [(p * self.t + i, self.index[f]) for p, (features, _) in enumerate(rows) for i, fs in enumerate(features) for f in set(fs) if f in self.index]
+        self.cell, self.feature = (np.array(x) for x in zip(*flat, strict=True))
+        y, live = np.zeros((self.n, self.t), int), np.zeros((self.n, self.t), bool)
+        for p, (_, labels) in enumerate(rows):
+            y[p, : len(labels)], live[p, : len(labels)] = labels, True
+        self.y, self.live, self.both = y, live, live[:, 1:]
+        self.seen = np.array([(self.both & (y[:, :-1] == a) & (y[:, 1:] == b)).sum() for a in (0, 1) for b in (0, 1)] + [(live[:, 0] & (y[:, 0] == a)).sum() for a in (0, 1)], float)
+
+    def loss(self, w: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+        """Mean negative log-likelihood with the ridge, and its gradient; ``w`` is emissions, moves 00 01 10 11, starts 0 1."""
+        n, t, d, live = self.n, self.t, len(self.index), self.live
         e = np.zeros((n, t, 2))
-        e[:, :, 1] = np.bincount(cell, w[feature], n * t).reshape(n, t)
+        e[:, :, 1] = np.bincount(self.cell, w[self.feature], n * t).reshape(n, t)
         move = w[d : d + 4].reshape(2, 2)
         alpha, beta = np.zeros((n, t, 2)), np.zeros((n, t, 2))
         alpha[:, 0] = e[:, 0] + w[d + 4 :]
@@ -388,14 +439,24 @@ def fit(pages: list[tuple[str, set[str]]], *, rounds: int = 150, rate: float = 0
         z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
         p1 = np.where(live, np.exp(np.minimum(0, alpha[:, :, 1] + beta[:, :, 1] - z[:, None])), 0)
         g = np.zeros(d + 6)
-        g[:d] = np.bincount(feature, (p1 - y).ravel()[cell], d)
+        g[:d] = np.bincount(self.feature, (p1 - self.y).ravel()[self.cell], d)
         joint = alpha[:, :-1, :, None] + move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        g[d : d + 4] = (np.exp(np.minimum(0, joint)) * both[:, :, None, None]).sum((0, 1)).ravel() - seen[:4]
-        g[d + 4 :] = np.array([(1 - p1[:, 0]).sum(), p1[:, 0].sum()]) - seen[4:]
-        g = g / n + ridge * w
+        g[d : d + 4] = (np.exp(np.minimum(0, joint)) * self.both[:, :, None, None]).sum((0, 1)).ravel() - self.seen[:4]
+        g[d + 4 :] = np.array([(1 - p1[:, 0]).sum(), p1[:, 0].sum()]) - self.seen[4:]
+        score = (e[:, :, 1] * self.y).sum() + w[d:] @ self.seen
+        return float((z.sum() - score) / n + ridge * (w @ w) / 2), g / n + ridge * w
+
+
+def fit(pages: list[tuple[str, set[str]]], *, rounds: int = 150, rate: float = 0.1, ridge: float = 2e-3, least: int = 3) -> Crf:
+    """Maximum likelihood by forward-backward over all pages at once (padded to the longest)."""
+    chains = Chains(pages, least)
+    d = len(chains.index)
+    w, m, v = np.zeros(d + 6), np.zeros(d + 6), np.zeros(d + 6)
+    for step in range(1, rounds + 1):
+        _, g = chains.loss(w, ridge)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Crf({f: float(w[i]) for f, i in index.items()}, w[d : d + 4].reshape(2, 2).tolist(), w[d + 4 :].tolist())
+    return Crf({f: float(w[i]) for f, i in chains.index.items()}, w[d : d + 4].reshape(2, 2).tolist(), w[d + 4 :].tolist())
 
 
 @lru_cache(maxsize=1)
@@ -408,7 +469,7 @@ def extract(pages: DataFrame, *, id_cols: list[str], html_col: str = "html", mod
     made = model or default_model()
     parts = (made.weights, made.moves, made.starts)
 
-    kept, at, fields = with_text(pages, id_cols, html_col)
+    kept, at, fields = with_text(pages, id_cols, html_col, ("text", "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = Crf(*parts)
