@@ -8,6 +8,12 @@ up in an open-addressing hash table of merges, merges every row's leftmost pair
 closes the gap; rows without a pair left are done and the matrix is compacted. Ids then
 match what the rank file's own library gives.
 
+A match of over ``LONG`` bytes is cut into rows of ``PART`` bytes. Ids are those of the whole match if and only if every
+two neighbours t, u stay apart when the bytes of t and u are merged by themselves: as long as no merge has crossed a seam,
+the merges between two neighbours are those of their bytes alone, in the same order, so a first merge across a seam
+would be one there, too. Where a seam fails, the tokens about it are merged anew over a window that doubles until
+its ends hold, so a match takes time in proportion to its length unless its ids depend on text far away.
+
 The piece cache holds at most ``CACHE`` pieces and is emptied when full, so memory is bounded; results
 don't depend on it. Defined cases: null is the empty text (no id); lone surrogates cannot occur in
 Spark strings; strings of special tokens are ordinary text; extra columns are ignored.
@@ -27,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, LONGEST_CACHED = 500_000, 64
+CACHE, LONGEST_CACHED, LONG, PART = 500_000, 64, 512, 256
 _NONE = np.int64(1) << 40
 #: One run of non-space characters, with at most the one space before it.
 PLAIN = re.compile(r" ?\S+\Z").match
@@ -118,6 +124,45 @@ class Ranks:
         return done
 
     def encode_matches(self, matches: list[bytes]) -> list[list[int]]:
+        """Ids of each match."""
+        if max(map(len, matches), default=0) <= LONG:
+            return self._encode_rows(matches)
+        parts = [[m] if len(m) <= LONG else [m[a : a + PART] for a in range(0, len(m), PART)] for m in matches]
+        rows = iter(self._encode_rows([p for ps in parts for p in ps]))
+        return [self._joined([next(rows) for _ in ps]) for ps in parts]
+
+    def _joined(self, rows: list[list[int]]) -> list[int]:
+        """The ids of a match from those of its parts."""
+        ids = rows[0] if len(rows) == 1 else [i for r in rows for i in r]
+        seams = set(np.cumsum([len(r) for r in rows[:-1]]).tolist())  # places in ``ids`` not yet known to hold
+        reach = 4
+        while seams:
+            at = sorted(seams)
+            pairs = self._encode_rows([self.bytes[ids[s - 1]] + self.bytes[ids[s]] for s in at])
+            failed = [s for s, got in zip(at, pairs, strict=True) if got != [ids[s - 1], ids[s]]]
+            if not failed:
+                break
+            spans: list[list[int]] = []
+            for s in failed:
+                a, b = max(0, s - reach), min(len(ids), s + reach)
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+            fresh = self._encode_rows([self.decode(ids[a:b]) for a, b in spans])
+            made: list[int] = []
+            seams, last = set(), 0
+            for (a, b), new in zip(spans, fresh, strict=True):
+                made += ids[last:a]
+                seams |= {len(made), len(made) + len(new)}
+                made += new
+                last = b
+            ids = made + ids[last:]
+            seams -= {0, len(ids)}
+            reach *= 2
+        return ids
+
+    def _encode_rows(self, matches: list[bytes]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(matches)
         buckets: dict[int, list[int]] = {}
         for i, m in enumerate(matches):
