@@ -1,17 +1,16 @@
 """Secret scan: pattern spans plus a randomness test battery with false-discovery control.
 
-Method. Every maximal run of encoding characters is a candidate. Its encoding (hex, base32,
-base62, base64, base64url) is the smallest alphabet that holds all its symbols. Three tests ask
-whether the symbols look uniform and independent in that alphabet: chi-squared on equal
-symbol bins, Wald-Wolfowitz runs about the alphabet's middle, and lag-1 serial correlation. A
-candidate that survives the battery gets a p-value against the null of ordinary text: the
-likelihood ratio of "uniform" to a fixed first-order model of words and identifiers is an
-e-value, so ``exp(-ratio)`` bounds the chance that ordinary text of that length looks as random
-(Markov's inequality). Benjamini-Hochberg is applied over all candidates of the corpus,
-separately in each length band (powers of two), so that many short words cannot drown long
-keys. The first pass over the texts
-sends only counts per (band, p bin) to the driver, at most 12 x 122 numbers; the second applies
-the thresholds.
+Method. Every maximal run of ``SHORTEST`` or more encoding characters is a candidate. Its encoding (hex, lower, upper,
+base32, base62, base64, base64url) is the smallest alphabet that holds all its symbols. Three tests ask whether the
+symbols look uniform and independent in that alphabet: chi-squared on equal symbol bins, Wald-Wolfowitz runs
+about the alphabet's middle, and lag-1 serial correlation; Fisher's method joins their p-values into one, B. Against
+the null of ordinary text, the likelihood ratio of "uniform" to a fixed first-order model of words and identifiers
+is an e-value, and so is its product with B, which is at most 1: ``1 / (ratio * B)`` bounds the chance that ordinary text of
+that length looks as random (Markov's inequality), and a run that fails the battery loses its evidence by as much
+as it fails. Benjamini-Hochberg is applied over all candidates of the corpus, separately in each length band
+(powers of two, of any length), so that many short words cannot drown long keys. The first pass over the texts
+sends only counts per (band, p bin) to the driver, at most 28 x 122 numbers; the second applies the thresholds. Of an accepted
+run, the parts that no base span covers are reported. Digits alone are as likely in ordinary numbers and are never accepted.
 
 Defined cases: null and empty text have no span; long runs are tested on all their
 characters; rows repeat as they come; extra columns are ignored by
@@ -39,13 +38,17 @@ _ASSIGN = re.compile(
 _HINTS = ("password", "passwd", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Shorter runs cannot carry enough evidence in any band; a parameter of the method.
+SHORTEST = 16
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}")
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: From the smallest alphabet to the largest.
 ENCODINGS = (
     ("hex", _DIGIT + "abcdef"),
     ("hex_upper", _DIGIT + "ABCDEF"),
+    ("lower", _LOWER),
+    ("upper", _UPPER),
     ("base32", _UPPER + "234567"),
     ("base62", _UPPER + _LOWER + _DIGIT),
     ("base64", _UPPER + _LOWER + _DIGIT + "+/"),
@@ -63,7 +66,6 @@ _LOG |= {c.upper(): v for c, v in _LOG.items()} | dict.fromkeys(_DIGIT, math.log
 _CLASS = dict.fromkeys(_LOWER, 0) | dict.fromkeys(_UPPER, 1) | dict.fromkeys(_DIGIT, 2) | dict.fromkeys("+/-_", 3)
 
 BINS, BIN_WIDTH = 121, 0.5
-ALPHA = 0.001
 
 
 def _normal_tail(z: float) -> float:
@@ -96,23 +98,29 @@ def battery(symbols: np.ndarray, size: int) -> tuple[float, float, float]:
     return chi, min(1.0, runs), serial
 
 
+def fisher(p_values: tuple[float, float, float]) -> float:
+    """Natural log of the joint p-value of three tests: the upper tail of chi-squared with 6 degrees."""
+    if min(p_values) <= 0:
+        return -math.inf
+    half = -sum(map(math.log, p_values))
+    return -half + math.log1p(half + half * half / 2)
+
+
 def surprise(run: str) -> tuple[str, float] | None:
-    """The inferred encoding and minus the natural log of the p-value against ordinary text;
-    None when no encoding fits, one character class makes up the run, or the battery rejects."""
+    """The inferred encoding and minus the natural log of the p-value against ordinary text; None when no encoding
+    fits or there is no evidence."""
     body = run.rstrip("=")
-    classes = {_CLASS[c] for c in set(body)} & {0, 1, 2}
-    if len(classes) < 2:
-        return None
-    for name, index, size in _INDEX:
-        if all(c in index for c in set(body)):
-            break
-    else:
-        return None
-    if min(battery(np.fromiter((index[c] for c in body), np.int64, len(body)), size)) * 3 < ALPHA:
+    symbols = set(body)
+    found = next(((name, index, size) for name, index, size in _INDEX if symbols <= index.keys()), None)
+    if not found:
         return None
+    name, index, size = found
     kinds = [_CLASS[c] for c in body]
     ordinary = sum(_LOG[c] for c in body) + sum(_STAY if a == b else _LEAVE for a, b in zip(kinds, kinds[1:], strict=False))
-    return name, -len(body) * math.log(size) - ordinary
+    evidence = -len(body) * math.log(size) - ordinary
+    if evidence > 0:  # the battery only lowers it
+        evidence += fisher(battery(np.fromiter((index[c] for c in body), np.int64, len(body)), size))
+    return (name, evidence) if evidence > 0 else None
 
 
 def scan_text(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, int, float]], list[int]]:
@@ -130,9 +138,9 @@ def scan_text(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[
         if "AKIA" in run:
             base += [("access", at + x.start(), at + x.end()) for x in _ACCESS.finditer(run) if len(x[0]) >= 20]
         base += [("hex", at + x.start(), at + x.end()) for x in _HEX.finditer(run) if len(x[0]) >= 24]
-        band = min(11, len(run).bit_length() - 5)
+        band = len(run).bit_length() - SHORTEST.bit_length()
         tested.append(band)
-        if (s := surprise(run)) and s[1] > 0:
+        if s := surprise(run):
             found.append((at, m.end(), band, s[1]))
     base.sort(key=lambda s: (s[1], _ORDER[s[0]]))
     return base, found, tested
@@ -177,10 +185,21 @@ def thresholds(docs: DataFrame, *, text_col: str = "text", false_discovery_rate:
 Span = tuple[str, int, int]
 
 
+def uncovered(start: int, end: int, spans: list[Span]) -> Iterator[Span]:
+    """The parts of a run that ``spans`` (in order of start) leave."""
+    for _, a, b in spans:
+        if b > start and a < end:
+            if a > start:
+                yield ("random", start, a)
+            start = b
+    if start < end:
+        yield ("random", start, end)
+
+
 def all_spans(text: str | None, accept: dict[int, int]) -> tuple[list[Span], list[Span]]:
-    """The base spans, and those plus the accepted random runs that overlap none of them."""
+    """The base spans, and those plus what they leave of the accepted random runs."""
     base, found, _ = scan_text(text)
-    extra = [("random", a, b) for a, b, band, s in found if min(BINS - 1, int(s / BIN_WIDTH)) >= accept.get(band, BINS) and not any(x < b and y > a for _, x, y in base)]
+    extra = [s for a, b, band, x in found if min(BINS - 1, int(x / BIN_WIDTH)) >= accept.get(band, BINS) for s in uncovered(a, b, base)]
     return base, sorted(base + extra, key=lambda s: (s[1], _ORDER[s[0]])) if extra else base
 
 
