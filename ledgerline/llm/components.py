@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut
+from ledgerline.llm.common import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for every node of ``edges``.
 
     ``edges`` has ``src`` and ``dst`` of one ordered type. Each round is written to the shared
-    checkpoint folder, so lineage stays short. It ends when every edge points from a
+    checkpoint folder, so lineage stays short, and the round before it is deleted. It ends when every edge points from a
     root to a node that is nobody's root, the fixed point of the two steps; rounds are about
     the logarithm of the longest path. Minima are pre-aggregated before each shuffle and the stars'
     hot centres sit on the side of a join that adaptive execution can split. No edge: no row.
@@ -41,5 +41,6 @@ def connected(edges: DataFrame) -> DataFrame:
         odd = roles.groupBy("node").agg(F.max("is_src").alias("s"), F.sum("as_dst").alias("d")).filter("d > 1 or (s = 1 and d > 0)")
         if odd.isEmpty():
             break
-        edges = cut(_small_star(_large_star(edges)))
+        edges, old = cut(_small_star(_large_star(edges))), edges
+        discard(old)
     return edges.select(F.col("dst").alias("node"), F.col("src").alias("root")).union(edges.select(F.col("src").alias("node"), F.col("src").alias("root")).distinct())

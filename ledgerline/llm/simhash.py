@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import cut
 from ledgerline.llm.components import connected
 
-SEED = 42
+SEED, SALTS = 42, 32
 
 
 def fingerprint(text: bytes | None, words: int = 4) -> int:
@@ -137,9 +137,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words=words))
     distinct = fps.groupBy("fp").agg(F.min(id_col).alias("_least"))
     roots = connected(links(distinct.select("fp"), radius=radius, chunk=chunk))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
-    classes = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    # Classes of one fingerprint are named already. Others get their name by the root, each member in one of
+    # ``SALTS`` lots by its own hash, so that a large class is no task of its own.
+    alone = named.filter("root is null").select(F.col("fp").alias("_fp"), F.col("_least").alias("component_id"))
+    linked = named.filter("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    least = linked.groupBy("root", "salt").agg(F.min("_least").alias("_least")).groupBy("root").agg(F.min("_least").alias("component_id"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classes = alone.unionByName(linked.join(least, ["root", "salt"]).select(F.col("fp").alias("_fp"), "component_id"))
     return fps.join(classes, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
 
 
