@@ -6,9 +6,9 @@ landmark texts L and n sample texts X, one-versus-rest kernel ridge regression r
 span of the landmarks is alpha = (K_XL' K_XL + ridge n K_LL)^-1 K_XL' Y, and a text scores
 k(x, L) alpha. A batch of texts is one 0/1 matrix and two matrix products.
 
-Bounds. Sample rows: at most ``sample`` of each label and 4,096 together, of at most ``labels``
-labels (the most frequent); landmarks: ``landmarks`` of those, spread evenly over the labels. Features of the
-sample (``slots``/8 bytes a row) are made on the executors.
+Bounds. Every label is learned. Sample rows: about ``sample`` of each label and 4,096 together (one of each
+label where there are more labels than that); landmarks: ``landmarks`` of those (one of each label where there are
+more), spread evenly over the labels. Features of the sample (``slots``/8 bytes a row) are made on the executors.
 
 Defined cases: null text, empty text and text without a letter give ``und`` with score 0; without
 any training row everything is ``und``; rows with null labels don't train; ties go to the label that
@@ -81,16 +81,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), batch.column(1)], names=["bits", "label"])
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = 1000, labels: int = 64, landmarks: int = 256, ridge: float = 1e-4) -> LanguageModel:
+def solve(k_xl: np.ndarray, k_ll: np.ndarray, target: np.ndarray, balance: np.ndarray, ridge: float) -> np.ndarray:
+    """The weights of the landmarks that minimise the weighted squared error with the ridge."""
+    a = (k_xl * balance).T @ (k_xl * balance) + ridge * len(k_xl) * k_ll + 1e-8 * np.eye(len(k_ll))
+    return np.linalg.solve(a, (k_xl * balance).T @ (target * balance))
+
+
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = 1000, landmarks: int = 256, ridge: float = 1e-4) -> LanguageModel:
     """A model from the rows of ``docs`` with a text and a label."""
     known = docs.select(F.col(id_col).alias("_id"), F.col(label_col).cast("string").alias("_label"))
-    counts = known.dropna().groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(labels).collect()
+    counts = known.dropna().groupBy("_label").count().collect()
     names = sorted(r[0] for r in counts)
     empty = LanguageModel([], np.zeros((SLOTS, 0), np.float32), np.zeros((0, 0), np.float32))
     if not names:
         return empty
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_plain"))
-    picked = labelled_sample(texts, known.filter(F.col("_label").isin(names)), {r[0]: r[1] for r in counts}, id_col="_id", text_col="_plain", label_col="_label", per_label=max(1, min(sample, 4096 // len(names))))
+    picked = labelled_sample(texts, known, {r[0]: r[1] for r in counts}, id_col="_id", text_col="_plain", label_col="_label", per_label=max(1, min(sample, 4096 // len(names))))
     rows = picked.mapInArrow(_features, "bits binary, label string").collect()
     if not rows:
         return empty
@@ -106,20 +112,19 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     k_xl, k_ll = (bits @ marks.T).astype(np.float64), (marks @ marks.T).astype(np.float64)
     target = (y[:, None] == np.arange(len(names))).astype(np.float64)
     balance = np.sqrt(1 / np.bincount(y, minlength=len(names)).clip(1))[y][:, None] * np.sqrt(len(y) / len(names))
-    a = (k_xl * balance).T @ (k_xl * balance) + ridge * len(y) * k_ll + 1e-8 * np.eye(len(chosen))
-    alpha = np.linalg.solve(a, (k_xl * balance).T @ (target * balance))
+    alpha = solve(k_xl, k_ll, target, balance, ridge)
     return LanguageModel(names, np.ascontiguousarray(marks.T), alpha.astype(np.float32))
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols``, ``lang_pred`` and ``score`` for every row."""
+def identify(docs: DataFrame, model: LanguageModel, *, id_cols: list[str], text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``id_cols``, ``lang_col`` and ``score_col`` for every row; an error if ``id_cols`` holds one of them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: slots x landmarks floats
 
-    kept, at, fields = with_text(docs, id_cols, text_col)
+    kept, at, fields = with_text(docs, id_cols, text_col, (lang_col, score_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = shared.value.predict(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], pa.array(names, pa.string()), pa.array(scores)], names=[*id_cols, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], pa.array(names, pa.string()), pa.array(scores)], names=[*id_cols, lang_col, score_col])
 
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{fields}, `{lang_col}` string, `{score_col}` double")

@@ -137,7 +137,7 @@ def learn(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_c
 def grade(docs: DataFrame, model: OrdinalModel, *, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """``id_cols``, ``expected_grade`` and ``tails`` (P(grade >= k) for each grade but the least)."""
 
-    kept, text_at, fields = with_text(docs, id_cols, text_col)
+    kept, text_at, fields = with_text(docs, id_cols, text_col, ("expected_grade", "tails"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

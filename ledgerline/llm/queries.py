@@ -64,9 +64,9 @@ WITH v AS (
   SELECT rid, vec_id, d, i, floor(64 * x) AS x FROM x WHERE rid IN (SELECT rid FROM ok)
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, c.rid, q.rid AS qid, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM n q JOIN n c ON q.i = c.i AND q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL
+  FROM n q JOIN n c ON q.i = c.i AND q.d = c.d AND q.vec_id <> c.vec_id WHERE q.rid IN (SELECT min(rid) FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id, embedding) GROUP BY ALL
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

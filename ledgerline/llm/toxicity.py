@@ -5,12 +5,12 @@ to Latin, A-Z to lower case; zero-width characters go. A second reading of the t
 digits and signs that stand for letters into them; a match there counts only if the first reading
 has none at that place. A match must start at a word start; whole-word entries must end at one.
 
-Lexicon. From a bounded sample of labelled rows (``sample`` per class, by id hash): entries are
-folded words and word stems of 4 to 6 letters; each row counts an entry once. An entry is kept
+Lexicon. From a bounded sample of labelled rows (about ``sample`` per class, by id hash): entries are
+folded words of any length and word stems of 4 to 6 letters; each row counts an entry once. An entry is kept
 when it is in ``least`` toxic rows or more and its smoothed log-odds less their standard error exceed
-``odds``; the weight is the log-odds. Counting runs as a group-by; at most ``entries`` entries reach the driver.
+``odds``; the weight is the log-odds. Counting runs as a group-by; the entries that reach the driver are bounded by the words of the sample.
 
-Exceptions. A phrase (an entry's word with the word before or after it) that occurs in ``least``
+Exceptions. A phrase (an entry's word with the word before or after it, whatever lies between) that occurs in ``least``
 clean sample rows and no toxic one is an exception: a match inside it does not count. Callers can
 pass further phrases.
 
@@ -73,6 +73,17 @@ def fold_text(text: str) -> str:
     return text.lower().translate(FOLD) if not text.isascii() else text.lower()
 
 
+def word_before(text: str, at: int) -> str:
+    """The word nearest before ``at``, however far; "" if none."""
+    end = at
+    while end and not _WORD.match(text, end - 1):
+        end -= 1
+    start = end
+    while start and _WORD.match(text, start - 1, start):
+        start -= 1
+    return text[start:end]
+
+
 @dataclass
 class Lexicon:
     """``words`` match whole words, ``stems`` word starts; both map to weights. ``phrases`` are exceptions."""
@@ -112,9 +123,8 @@ class Lexicon:
         word = _WORD.match(reading, at)
         if not word:
             return False
-        before = _WORD.findall(reading, max(0, at - 64), at)
-        after = _WORD.search(reading, word.end(), word.end() + 64)
-        return bool(before and f"{before[-1]} {word[0]}" in self.phrases) or bool(after and f"{word[0]} {after[0]}" in self.phrases)
+        before, after = word_before(reading, at), _WORD.search(reading, word.end())
+        return bool(before) and f"{before} {word[0]}" in self.phrases or bool(after) and f"{word[0]} {after[0]}" in self.phrases
 
     def numbers(self, text: str | None, automaton: ahocorasick.Automaton) -> tuple[float, float]:
         total = sum(w for _, w in self.matches(text, automaton).values())
@@ -134,8 +144,7 @@ def entries_of(text: str | None) -> set[str]:
         words = set(_WORD.findall(plain))
         if _MIXED.search(plain):
             words |= {w for x in _LEET_WORD.findall(plain) for w in _WORD.findall(x.translate(_LEET))}
-        out = {w for w in words if 3 <= len(w) <= 40}
-        out |= {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) >= n}
+        out = words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) >= n}
     return out
 
 
@@ -182,8 +191,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, least: int = 5, odds: float = 2.5, entries: int = 20000, exceptions: frozenset[str] = frozenset()) -> Lexicon:
-    """A lexicon from the texts of ``docs`` and the 0/1 labels of ``labels``; at most ``sample`` rows of each label are used."""
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 6000, least: int = 5, odds: float = 2.5, exceptions: frozenset[str] = frozenset()) -> Lexicon:
+    """A lexicon from the texts of ``docs`` and the 0/1 labels of ``labels``; about ``sample`` rows of each label are used."""
     known = labels.filter(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("_y"))
     share = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     prior = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
@@ -196,14 +205,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     p = picked.mapInArrow(_counted, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     log_odds = F.log((F.col("toxic") + 0.5) / (n1 + 1) / ((F.col("clean") + 0.5) / (n0 + 1)))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    kept = p.filter(F.col("toxic") >= least).withColumn("w", log_odds).filter(F.col("w") - error > odds).orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "entry").limit(entries)
+    kept = p.filter(F.col("toxic") >= least).withColumn("w", log_odds).filter(F.col("w") - error > odds)
     for entry, clean, toxic, w in kept.collect():
         if entry.endswith("*"):
             lexicon.stems[entry[:-1]] = w
         else:
             lexicon.words[entry] = w
     phrase = picked.mapInArrow(_phrases(lexicon), "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    lexicon.phrases |= frozenset(r[0] for r in phrase.filter((F.col("t") == 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "phrase").limit(entries).collect())
+    lexicon.phrases |= frozenset(r[0] for r in phrase.filter((F.col("t") == 0) & (F.col("n") >= least)).collect())
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
@@ -218,15 +227,14 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return lexicon
 
 
-def score(docs: DataFrame, lexicon: Lexicon, *, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols`` and ``score`` (0 to 1) for every row."""
-
-    kept, at, fields = with_text(docs, id_cols, text_col)
+def score(docs: DataFrame, lexicon: Lexicon, *, id_cols: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``id_cols`` and ``score_col`` (0 to 1) for every row; an error if ``id_cols`` holds ``score_col``."""
+    kept, at, fields = with_text(docs, id_cols, text_col, (score_col,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
             scores = pa.array([lexicon.score(t.as_py(), automaton) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], scores], names=[*id_cols, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], scores], names=[*id_cols, score_col])
 
-    return kept.mapInArrow(run, f"{fields}, score double")
+    return kept.mapInArrow(run, f"{fields}, `{score_col}` double")

@@ -246,7 +246,6 @@ def test_packing_keeps_every_id(spark):
     texts = [*HOSTILE, "lorem ipsum " * 3000, "<|endoftext|> is text", "a  b \n c"]
     out = packing.pack(docs_of(spark, texts), path=path).toPandas()
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         part = out[out.doc_id == i].sort_values("start")
