@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import langid, packing, secrets, simhash, toxicity
-from ledgerline.llm.common import cut, fold, table
+from ledgerline.llm.common import cut, fold, fresh, table
 
 #: A text whose best language scores below this is rejected, and so is one without letters.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -21,24 +21,27 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
-    scored = toxicity.score(docs, toxicity.learn(docs, labels), id_cols=docs.columns)
-    return scored.filter(F.col("score") < 0.3).select(docs.columns)
+    score = fresh(docs, "score")
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), id_cols=docs.columns, score_col=score)
+    return scored.filter(F.col(score) < 0.3).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.filter(fold("doc_id", 5) != 0))
-    named = langid.identify(docs, model, id_cols=docs.columns)
-    return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    named, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = langid.identify(docs, model, id_cols=docs.columns, lang_col=named, score_col=score)
+    return found.filter((F.col(named) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The key settles the row by its values alone, so it is the same in every scan; rows of one key are exact copies.
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text").isNull().alias("empty"), F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"))
-    keyed = docs.withColumn("_key", key)
-    groups = simhash.near_duplicates(keyed, id_col="_key")
-    keep = groups.filter(F.col("_key") == F.col("component_id")).select(F.col("_key").alias("_keep")).distinct()
-    return keyed.join(keep, F.col("_key") == F.col("_keep"), "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    own, kept = fresh(docs, "_key"), fresh(docs, "_keep")
+    keyed = docs.withColumn(own, key)
+    groups = simhash.near_duplicates(keyed.select(F.col(own).alias("_key"), "text"), id_col="_key")
+    keep = groups.filter(F.col("_key") == F.col("component_id")).select(F.col("_key").alias(kept)).distinct()
+    return keyed.join(keep, F.col(own) == F.col(kept), "left_semi").dropDuplicates([own]).select(docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
