@@ -68,25 +68,38 @@ def page_counter(text: Column) -> Column:
     return F.coalesce(read(r"(?iu)\b(?:sida|page)\s*(\d{1,3})\s*(?:/|av)\s*(\d{1,3})\b"), read(r"\b(\d{1,3})\s*/\s*(\d{1,3})\b"))
 
 
-def _share(text: Column, keep: str) -> Column:
-    return F.length(F.regexp_replace(text, keep, "")).cast("double")
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _left(text: Column, drop: str) -> Column:
+    return F.length(F.regexp_replace(text, drop, "")).cast("double")
 
 
 def content_score(text: Column) -> Column:
     """Usability of a page's text in 0..1: enough content, clean characters, letters and digits,
-    sane word lengths, and a little for invoice words."""
-    n = F.length(text).cast("double")
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    size = F.size(words).cast("double")
-    enough = F.least(F.lit(1.0), n / 30.0 * 0.5 + size / 5.0 * 0.5)
-    weird = _share(text, r"[\p{L}\p{N}\s.,/:;-]|(?U:\s)")
-    clean = 1.0 - F.least(F.lit(1.0), weird / n * 2.0)
-    alnum = _share(text, r"[^\p{L}\p{N}]") / n
-    lengths = F.array_sort(F.transform(words, lambda w: F.length(w)))
-    count = F.size(lengths)
-    half = F.when(count > 0, (F.get(lengths, F.floor((count - 1) / 2).cast("int")) + F.get(lengths, F.floor(count / 2).cast("int"))) / 2.0).otherwise(0.0)
-    sane = F.when(half.between(2, 20), 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.abs(half - 10) / 30.0))
+    sane word lengths, and a little for invoice words. The text is split and its word lengths sorted once."""
+    lengths = F.array_sort(F.transform(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), lambda w: F.length(w)))
+    weird = _left(text, r"[\p{L}\p{N}\s.,/:;-]|(?U:\s)")
+    alnum = _left(text, r"[^\p{L}\p{N}]")
     lower = F.lower(text)
-    bonus = F.least(F.lit(0.2), sum((lower.contains(w).cast("int") for w in INVOICE_WORDS), F.lit(0)) * 0.05)
-    raw = enough * 0.25 + clean * 0.3 + alnum * 0.25 + sane * 0.2 + bonus
-    return F.when(F.coalesce(n, F.lit(0.0)) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    facts = F.struct(
+        F.length(text).cast("double").alias("n"), lengths.alias("lengths"), weird.alias("weird"), alnum.alias("alnum"), F.filter(F.array(*[F.lit(w) for w in INVOICE_WORDS]), lambda w: F.contains(lower, w)).alias("known"),
+    )
+
+    def scored(x: Column) -> Column:
+        n, count = x["n"], F.size(x["lengths"])
+        middle = lambda i: F.get(x["lengths"], F.floor(i / 2).cast("int"))
+        half = F.when(count > 0, (middle(count - 1) + middle(count)) / 2.0).otherwise(0.0)
+        return let(half, lambda h: total(x, n, count.cast("double"), h))
+
+    def total(x: Column, n: Column, count: Column, half: Column) -> Column:
+        enough = F.least(F.lit(1.0), n / 30.0 * 0.5 + count / 5.0 * 0.5)
+        clean = 1.0 - F.least(F.lit(1.0), x["weird"] / n * 2.0)
+        sane = F.when(half.between(2, 20), 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.abs(half - 10) / 30.0))
+        bonus = F.least(F.lit(0.2), F.size(x["known"]) * 0.05)
+        raw = enough * 0.25 + clean * 0.3 + x["alnum"] / n * 0.25 + sane * 0.2 + bonus
+        return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(let(facts, scored))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import let
+
 #: Rows a segment needs: supplier and field, supplier only, field only, all.
 LEAST_ROWS = (200, 150, 100, 50)
 LEAST_SCORES = 8
@@ -37,17 +39,31 @@ def isotonic(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return kept.groupBy(*keys).applyInPandas(pool, schema) if keys else kept.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(lambda p: pool(p.drop(columns="_all")), schema)
 
 
+def interpolate(x: Column, curve: Column) -> Column:
+    """Linear between the points (x, fit) of a sorted array, flat outside; NULL where it is empty. The point at or below x is
+    found by halves."""
+    steps = F.array(*[F.lit(2**i) for i in range(13, -1, -1)])  # up to 16,384 points
+    jump = lambda at, by: F.when(F.coalesce(F.get(curve, at + by)["x"] <= x, F.lit(False)), at + by).otherwise(at)
+
+    def between(at: Column) -> Column:
+        low, high = F.get(curve, F.when(at >= 0, at)), F.get(curve, at + 1)
+        inner = low["fit"] + (high["fit"] - low["fit"]) * (x - low["x"]) / (high["x"] - low["x"])
+        return F.when(low["x"] == x, low["fit"]).otherwise(F.coalesce(inner, low["fit"], high["fit"]))
+
+    return let(F.aggregate(steps, F.lit(-1), jump), between)
+
+
+def clamped(score: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
 def apply_fit(scores: DataFrame, fit: DataFrame, score_col: str = "raw_confidence") -> DataFrame:
     """Scores with ``calibrated``: linear between fitted points, flat outside; without points the score itself.
 
-    The points (at most 10,001) are one array literal joined to every row by broadcast."""
+    The points (at most 10,001) are one row, joined to every row by broadcast."""
     curve = fit.agg(F.array_sort(F.collect_list(F.struct("x", "fit"))).alias("_curve"))
-    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score_col)))
-    below = F.element_at(F.filter("_curve", lambda p: p["x"] <= x), -1)
-    above = F.get(F.filter("_curve", lambda p: p["x"] >= x), F.lit(0))
-    inner = F.when(above["x"] == below["x"], below["fit"]).otherwise(below["fit"] + (above["fit"] - below["fit"]) * (x - below["x"]) / (above["x"] - below["x"]))
-    value = F.when(F.size("_curve") == 0, x).otherwise(F.coalesce(inner, below["fit"], above["fit"]))
-    return scores.join(F.broadcast(curve)).withColumn("calibrated", value).drop("_curve")
+    x = clamped(F.col(score_col))
+    return scores.join(F.broadcast(curve)).withColumn("calibrated", F.coalesce(interpolate(x, F.col("_curve")), x)).drop("_curve")
 
 
 def segments(truth: DataFrame) -> DataFrame:

@@ -9,20 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.text import let
+
 
 def anchors(ys: Column, tolerance: Column) -> Column:
     """First y of each row: a new row starts where y is more than ``tolerance`` below the row's first y."""
     return F.aggregate(F.array_sort(ys), F.slice(ys, 1, 0), lambda a, y: F.when((F.size(a) == 0) | (y - F.element_at(a, -1) > tolerance), F.concat(a, F.array(y))).otherwise(a))
 
 
-def group_rows(tokens: DataFrame, *, page: tuple[str, ...] = ("doc_id", "page_number"), tolerance: Column | None = None) -> DataFrame:
-    """Tokens (text, x, y, width, page_height) with ``row_idx`` from 0 in each page.
+def _by_page(tokens: DataFrame, page: tuple[str, ...], limit: Column, extra: dict[str, Column]) -> DataFrame:
+    """Tokens with the row each belongs to (``_row``): pages are gathered once, in one shuffle, and each token finds its
+    row among the page's anchors. A page bounds the arrays."""
+    rest = [c for c in tokens.columns if c not in page]
+    paged = tokens.groupBy(*page).agg(F.collect_list(F.struct(*rest)).alias("_tokens"), limit.alias("_limit"), *[c.alias(n) for n, c in extra.items()])
+    ys = F.array_distinct(F.transform("_tokens", lambda t: t["y"]))
+    marked = paged.withColumn("_anchors", anchors(ys, F.col("_limit")))
+    placed = F.transform("_tokens", lambda t: F.struct(*[t[c].alias(c) for c in rest], (F.size(F.filter("_anchors", lambda a: a <= t["y"])) - 1).alias("_row")))
+    return marked.select(*page, *extra, F.inline(placed))
+
 
-    Distinct y values are folded, then joined back; tokens themselves are never collected."""
-    limit = F.least(F.lit(5.0), F.col("page_height") * 0.02) if tolerance is None else tolerance
-    marks = tokens.groupBy(*page).agg(anchors(F.collect_set("y"), F.first(limit)).alias("_anchors"))
-    row = F.size(F.filter("_anchors", lambda a: a <= F.col("y"))) - 1
-    return tokens.join(marks, list(page)).withColumn("row_idx", row).drop("_anchors")
+def group_rows(tokens: DataFrame, *, page: tuple[str, ...] = ("doc_id", "page_number"), tolerance: Column | None = None) -> DataFrame:
+    """Tokens (text, x, y, width, page_height) with ``row_idx`` from 0 in each page."""
+    limit = F.least(F.lit(5.0), F.max("page_height") * 0.02) if tolerance is None else tolerance
+    return _by_page(tokens, page, limit, {}).withColumnRenamed("_row", "row_idx")
 
 
 def row_table(tokens: DataFrame, *, page: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
@@ -37,12 +46,9 @@ def reading_tolerance(height: Column) -> Column:
 
 def reading_order(tokens: DataFrame, *, page: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
     """Tokens with ``position`` from 0: by anchored row (half the median height, 2 to 15 points), then x."""
-    heights = tokens.groupBy(*page).agg(F.median("height").alias("_h"))
-    keyed = tokens.join(heights, list(page))
-    marks = keyed.groupBy(*page).agg(anchors(F.collect_set("y"), reading_tolerance(F.first("_h"))).alias("_anchors"))
-    row = F.size(F.filter("_anchors", lambda a: a <= F.col("y"))) - 1
+    placed = _by_page(tokens, page, reading_tolerance(F.median("height")), {})
     order = Window.partitionBy(*page).orderBy("_row", "x", "token_idx")
-    return keyed.join(marks, list(page)).withColumn("_row", row).withColumn("position", F.row_number().over(order) - 1).drop("_row", "_anchors", "_h")
+    return placed.withColumn("position", F.row_number().over(order) - 1).drop("_row")
 
 
 def bands(rows: DataFrame) -> DataFrame:
@@ -104,17 +110,23 @@ def invoice_boundaries(pages: DataFrame, *, file: str = "doc_id") -> DataFrame:
     return spans.select(file, "page_start", F.coalesce(F.get("s", F.col("i") + 1) - 1, F.col("last")).cast("int").alias("page_end"))
 
 
-def boundaries_of(centers: Column, page_width: Column) -> Column:
-    """Column boundaries: the page's edges and the middles between neighbouring centres."""
-    middles = F.zip_with(F.slice(centers, 1, F.size(centers) - 1), F.slice(centers, 2, F.size(centers) - 1), lambda a, b: (a + b) / 2)
-    return F.concat(F.array(F.lit(0.0)), middles, F.array(page_width))
-
-
-def assign_columns(tokens: DataFrame, centers: str = "centers", page_width: Column | None = None) -> DataFrame:
-    """Tokens with ``column``: the span they overlap most (ties to the left), else the nearest centre."""
-    edges = boundaries_of(F.col(centers), page_width if page_width is not None else F.col("page_width"))
-    overlap = F.transform(F.sequence(F.lit(0), F.size(centers) - 1), lambda i: F.greatest(F.lit(0.0), F.least(F.col("x") + F.col("width"), F.get("_edges", i + 1)) - F.greatest(F.col("x"), F.get("_edges", i))))
-    middle = F.col("x") + F.col("width") / 2
-    distance = F.transform(centers, lambda c: F.abs(c - middle))
-    column = F.when(F.array_max("_overlap") > 0, F.array_position("_overlap", F.array_max("_overlap"))).otherwise(F.array_position("_distance", F.array_min("_distance"))) - 1
-    return tokens.withColumn("_edges", edges).withColumn("_overlap", overlap).withColumn("_distance", distance).withColumn("column", column.cast("int")).drop("_edges", "_overlap", "_distance")
+def assign_columns(tokens: DataFrame, centers: str | list[float] = "centers", page_width: Column | None = None) -> DataFrame:
+    """Tokens with ``column``: the span they overlap most (ties to the left), else the nearest centre.
+
+    Centres known beforehand are plain comparisons, compiled with their stage; centres that vary by row come as an array column."""
+    width = page_width if page_width is not None else F.col("page_width")
+    left, right = F.col("x"), F.col("x") + F.col("width")
+    if not isinstance(centers, str):
+        edges = [F.lit(0.0), *[F.lit((a + b) / 2) for a, b in zip(centers, centers[1:], strict=False)], width]
+        overlap = [F.greatest(F.lit(0.0), F.least(right, b) - F.greatest(left, a)) for a, b in zip(edges, edges[1:], strict=False)]
+        distance = [F.abs(F.lit(c) - (left + F.col("width") / 2)) for c in centers]
+        first = lambda values, best: F.coalesce(*[F.when(v == best, i) for i, v in enumerate(values)])
+        best, near = (values[0] if len(values) == 1 else f(*values) for f, values in ((F.greatest, overlap), (F.least, distance)))
+        return tokens.withColumn("column", F.when(best > 0, first(overlap, best)).otherwise(first(distance, near)))
+    spans = F.transform(
+        centers, lambda c, i: F.struct(
+            -F.greatest(F.lit(0.0), F.least(right, F.coalesce((c + F.get(centers, i + 1)) / 2, width)) - F.greatest(left, F.coalesce((c + F.get(centers, F.when(i > 0, i - 1))) / 2, F.lit(0.0)))).alias("o"), i.alias("i"), F.abs(c - (left + F.col("width") / 2)).alias("d"),
+        ),
+    )
+    column = let(spans, lambda s: let(F.array_min(s), lambda best: F.when(best["o"] < 0, best["i"]).otherwise(F.array_min(F.transform(s, lambda x: F.struct(x["d"].alias("d"), x["i"].alias("i"))))["i"])))
+    return tokens.withColumn("column", column.cast("int"))

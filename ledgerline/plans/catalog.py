@@ -359,7 +359,7 @@ registered("wrap_absorb")(
 registered(
     "column_assign",
     f"WITH {sql.TOKENS} SELECT doc_id, page_number, token_idx, CASE WHEN x + 25 <= 175 THEN 0 WHEN x + 25 <= 375 THEN 1 ELSE 2 END AS column FROM tok",
-)(lambda s, d: layout.assign_columns(tables.tokens(s, d).withColumn("centers", F.array(F.lit(100.0), F.lit(250.0), F.lit(500.0)))).select("doc_id", "page_number", "token_idx", "column"))
+)(lambda s, d: layout.assign_columns(tables.tokens(s, d), [100.0, 250.0, 500.0]).select("doc_id", "page_number", "token_idx", "column"))
 
 
 @registered("invoice_boundaries")
