@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words whose presence suggests an invoice.
 INVOICE_WORDS = ("total", "moms", "faktura", "bankgiro", "att betala", "summa")
-_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folds() -> dict[str, str]:
+    """Lower-case letters that are one letter and combining marks, and that letter: all of the planes' alphabetic scripts."""
+    out = {}
+    for cp in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(cp).lower()) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain != chr(cp).lower():
+            out[chr(cp).lower()] = plain
+    return {k: v for k, v in out.items() if len(k) == 1}
+
+
+_FOLDS = _folds()
+_ACCENTED, _PLAIN = "".join(_FOLDS), "".join(_FOLDS.values())
 
 
 def strip_space(text: Column) -> Column:
@@ -20,7 +35,7 @@ def collapse(text: Column) -> Column:
 
 def plain_lower(text: Column) -> Column:
     """Lower case without accents, white space collapsed."""
-    return collapse(F.translate(F.lower(text), _ACCENTED, _PLAIN))
+    return collapse(F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _PLAIN), r"\p{M}", ""))
 
 
 def label_text(text: Column) -> Column:

@@ -74,6 +74,71 @@ def segments(truth: DataFrame) -> DataFrame:
     return made.select(F.coalesce("supplier", F.lit("*")).alias("supplier"), F.coalesce("field", F.lit("*")).alias("field"), "n_rows", "n_scores", "accuracy", ((F.col("n_rows") >= need) & (F.col("n_scores") >= LEAST_SCORES)).alias("trains"))
 
 
+def segment_truth(truth: DataFrame) -> DataFrame:
+    """Every row once for each of the segments it belongs to ('*' is any): supplier and field, supplier, field, all."""
+    keys = F.array(*[F.struct(F.coalesce(s, F.lit("*")).alias("s"), F.coalesce(f, F.lit("*")).alias("f")) for s, f in ((F.col("supplier"), F.col("field")), (F.col("supplier"), F.lit("*")), (F.lit("*"), F.col("field")), (F.lit("*"), F.lit("*")))])
+    return truth.select(F.explode(F.array_distinct(keys)).alias("k"), "raw_confidence", "actual_correct").select(F.col("k.s").alias("supplier"), F.col("k.f").alias("field"), "raw_confidence", "actual_correct")
+
+
+def least_rows(supplier: Column, field: Column) -> Column:
+    """Rows that a segment needs before it is trained."""
+    return F.when((supplier != "*") & (field != "*"), LEAST_ROWS[0]).when(supplier != "*", LEAST_ROWS[1]).when(field != "*", LEAST_ROWS[2]).otherwise(LEAST_ROWS[3])
+
+
+def train(truth: DataFrame) -> DataFrame:
+    """supplier, field, x, y, weight, fit of every segment with enough rows and distinct scores; scores are clamped to 0..1.
+
+    Points are summed up by rounded score before segments are counted, so a hot segment shuffles 10,001 rows a task at most."""
+    known = truth.withColumn("raw_confidence", clamped(F.col("raw_confidence"))).filter("raw_confidence is not null and actual_correct is not null")
+    points = weighted_points(segment_truth(known), ("supplier", "field"))
+    size = points.groupBy("supplier", "field").agg(F.sum("weight").alias("_rows"), F.count(F.lit(1)).alias("_scores"))
+    able = size.filter((F.col("_rows") >= least_rows(F.col("supplier"), F.col("field"))) & (F.col("_scores") >= LEAST_SCORES))
+    return isotonic(points.join(able.select("supplier", "field"), ["supplier", "field"]), ("supplier", "field"))
+
+
+def register(models: DataFrame, more: DataFrame) -> DataFrame:
+    """The models with those of ``more`` put in the place of their segments'."""
+    return models.join(more.select("supplier", "field").distinct(), ["supplier", "field"], "left_anti").unionByName(more)
+
+
+def calibrate(rows: DataFrame, models: DataFrame, score_col: str = "raw_confidence") -> DataFrame:
+    """Rows (supplier, field) with ``model``, the segment used, and ``calibrated``; the clamped score itself where no segment fits."""
+    curves = models.groupBy(F.concat_ws("/", "supplier", "field").alias("_m")).agg(F.array_sort(F.collect_list(F.struct("x", "fit"))).alias("_curve"))
+    keyed = lookup(rows, models.select("supplier", "field").distinct())
+    x = clamped(F.col(score_col))
+    return keyed.join(curves, F.col("model") == F.col("_m"), "left").withColumn("calibrated", F.coalesce(interpolate(x, F.col("_curve")), x)).drop("_m", "_curve")
+
+
+def bin_errors(scores: DataFrame, edges: DataFrame | None = None, bins: int = 10) -> DataFrame:
+    """One row: ece, mce, n, bins_with_data of ``calibrated`` against ``actual_correct``, in bins of ``raw_confidence``: of equal
+    width, or by ``edges`` (of ``quantile_edges``)."""
+    raw = clamped(F.col("raw_confidence"))
+    if edges is None:
+        return errors(bin_means(scores, F.least(F.floor(raw * bins), F.lit(bins - 1)).cast("int")))
+    placed = scores.join(F.broadcast(edges)).withColumn("_bin", bin_index(raw, F.col("edges")))  # one row of bins + 1 numbers
+    return errors(bin_means(placed, F.col("_bin")))
+
+
+def report(scores: DataFrame, bins: int = 10) -> DataFrame:
+    """One row about scores with raw_confidence, calibrated and actual_correct: accuracy, ece and mce in quantile bins,
+    ece_equal_width, brier, n, bins_with_data (of equal width), largest drift, and whether to train anew."""
+    even = bin_means(scores, F.least(F.floor(clamped(F.col("raw_confidence")) * bins), F.lit(bins - 1)).cast("int"))
+    wide = errors(even).select(F.col("ece").alias("ece_equal_width"), F.col("mce").alias("max_drift"), "bins_with_data")
+    fine = bin_errors(scores, quantile_edges(scores.withColumn("raw_confidence", clamped(F.col("raw_confidence"))), bins)).select("ece", "mce", "n")
+    accuracy = scores.agg(F.coalesce(F.avg(F.col("actual_correct").cast("double")), F.lit(0.0)).alias("accuracy"))
+    one = fine.join(wide).join(brier(scores)).join(accuracy)  # one row each
+    return one.withColumn("recalibrate", recalibrate(F.col("ece"), F.col("mce"), F.col("n"), F.col("bins_with_data")))
+
+
+def report_bins(scores: DataFrame, bins: int = 10) -> DataFrame:
+    """Per bin of equal width, empty ones too: label, n, mean_raw, mean_calibrated, accuracy, drift."""
+    at = F.least(F.floor(clamped(F.col("raw_confidence")) * bins), F.lit(bins - 1)).cast("int")
+    found = scores.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(clamped(F.col("raw_confidence"))).alias("mean_raw"), F.avg("calibrated").alias("mean_calibrated"), F.avg(F.col("actual_correct").cast("double")).alias("accuracy"))
+    every = scores.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    out = every.join(found, "bin", "left").fillna(0).withColumn("drift", F.abs(F.col("mean_calibrated") - F.col("accuracy")))
+    return out.withColumn("label", F.concat(F.format_string("%.1f", F.col("bin") / bins), F.lit("-"), F.format_string("%.1f", (F.col("bin") + 1) / bins)))
+
+
 def lookup(rows: DataFrame, models: DataFrame) -> DataFrame:
     """The model key each row uses: (supplier, field), (supplier, *), (*, field), (*, *). ``models`` has supplier and field."""
     out = rows

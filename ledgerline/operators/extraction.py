@@ -19,10 +19,13 @@ from ledgerline.functions.text import garbled, label_text
 NOT_A_NAME = (
     "faktura", "invoice", "datum", "date", "fakturanummer", "invoice number", "sida", "page", "nr:", "betaling", "betalningsreferens", "betalnings referens", "lagerplats", "referens", "reference", "sek", "kr",
 )
-NOT_A_NAME_FORM = r"(?iu)sida\s+\d+/\d+|nr:\s*\d+|\d{2}-\d{2}-\d{2}|\d{4}-\d{2}-\d{2}|\d+\s+\d+\s+\(\d+\)|\d{5}\s*[A-ZÅÄÖ]+|\d+\s+\d+[.,]\d{2}\s+sek"
+#: Forms of rows that hold no name.
+NOT_A_NAME_FORMS = (r"sida\s+\d+/\d+", r"nr:\s*\d+", r"\d{2}-\d{2}-\d{2}", r"\d{4}-\d{2}-\d{2}", r"\d+\s+\d+\s+\(\d+\)", r"\d{5}\s*[A-ZÅÄÖ]+", r"\d+\s+\d+[.,]\d{2}\s+sek")
+NOT_A_NAME_FORM = "(?iu)" + "|".join(NOT_A_NAME_FORMS)
 COMPANY = ("AB", "Ltd", "Inc", "Aktiebolag")
 #: Labels of an invoice number in a row's plain form, and number words that raise its score.
-NUMBER_LABEL = r"fakturanummer|faktura\s*nr|faktura\s*-\s*nr|fakt\.\s*nr|faktnr|fakt\s*nr|fakt\s*-\s*nr|faktura\s+\d|invoice\s*number|invoice\s*no|inv\s*no"
+NUMBER_LABELS = (r"fakturanummer", r"faktura\s*nr", r"faktura\s*-\s*nr", r"fakt\.\s*nr", r"faktnr", r"fakt\s*nr", r"fakt\s*-\s*nr", r"faktura\s+\d", r"invoice\s*number", r"invoice\s*no", r"inv\s*no")
+NUMBER_LABEL = "|".join(NUMBER_LABELS)
 NUMBER_WORD = r"(?i)fakturanummer|faktura\s*nr|faktnr|fakt\.nr|invoice\s*number|invoice\s*no|inv\s*no|no\.|nr|number"
 #: Words of net and gross totals.
 NET = r"(?i)netto(?:beloppet|belopp)?|(?:exkl\.?|exklusive|utan)\s*moms|delsumma|subtotal|momsfri\s+summa|momsfritt\s+belopp"
@@ -59,6 +62,16 @@ def _number(text: Column) -> Column:
     return F.when(found != "", found).when(broad != "", broad)
 
 
+def number_score(candidate: Column, confidence: Column) -> Column:
+    """0..1 by place on the page, number word on or above the row (``_above``), form, uniqueness among ``_all`` texts and
+    the tokens' confidence."""
+    y, h = F.col("y"), F.col("page_height")
+    place = F.when(y < h * 0.25, 0.30).when(y < h * 0.35, 0.20).otherwise(0.0)
+    word = F.when(F.col("text").rlike(NUMBER_WORD), 0.35).when(F.col("_above"), 0.28).when(F.col("text").rlike(r"(?i)faktura\s+\d"), 0.30).otherwise(0.0)
+    once = F.size(F.filter("_all", lambda t: t.contains(candidate))) == 1
+    return F.least(F.lit(1.0), place + word + F.when(R.number_shape(candidate), 0.20).otherwise(0.0) + F.when(once, 0.10).otherwise(0.0) + confidence * 0.05)
+
+
 def number_candidates(header: DataFrame, *, confidence: Column | None = None, scan_share: float = 0.25) -> DataFrame:
     """invoice_id, candidate, row_idx, priority, score: numbers after a label (priority 1) or in one of the two rows below it (3, 4);
     without any, plain numbers of the page's top (10). At most the first 20 are scored."""
@@ -77,13 +90,9 @@ def number_candidates(header: DataFrame, *, confidence: Column | None = None, sc
     offers = F.when(F.col("_any"), F.col("_found")).when(F.col("y") < F.col("page_height") * scan_share, scan)
     listed = facts.withColumn("_c", F.explode(offers)).select("*", "_c.candidate", "_c.priority", "_c.label_row")
     listed = listed.withColumn("_k", F.row_number().over(Window.partitionBy("invoice_id").orderBy("label_row", "priority"))).filter("_k <= 20")
-    y, h = F.col("y"), F.col("page_height")
-    place = F.when(y < h * 0.25, 0.30).when(y < h * 0.35, 0.20).otherwise(0.0)
-    word = F.when(F.col("text").rlike(NUMBER_WORD), 0.35).when(F.col("_above"), 0.28).when(F.col("text").rlike(r"(?i)faktura\s+\d"), 0.30).otherwise(0.0)
-    once = F.size(F.filter("_all", lambda t: t.contains(F.col("candidate")))) == 1
-    score = place + word + F.when(R.number_shape(F.col("candidate")), 0.20).otherwise(0.0) + F.when(once, 0.10).otherwise(0.0) + (F.lit(1.0) if confidence is None else confidence) * 0.05
+    score = number_score(F.col("candidate"), F.lit(1.0) if confidence is None else confidence)
     boost = F.when(F.col("priority") == 1, 0.10).when(F.col("priority") == 3, 0.02).otherwise(0.0)
-    return listed.select("invoice_id", "candidate", "row_idx", "priority", F.col("_k").alias("position"), F.least(F.lit(1.0), F.least(F.lit(1.0), score) + boost).alias("score"))
+    return listed.select("invoice_id", "candidate", "row_idx", "priority", F.col("_k").alias("position"), F.least(F.lit(1.0), score + boost).alias("score"))
 
 
 def pick_number(header: DataFrame, **options) -> DataFrame:
@@ -106,9 +115,11 @@ def footer_total(footer: DataFrame, words: str, name: str) -> DataFrame:
     return value.groupBy("invoice_id").agg(F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("row_idx"))).alias(name))
 
 
-def score_totals(footer: DataFrame, sums: DataFrame) -> DataFrame:
+def score_totals(footer: DataFrame, sums: DataFrame, offers: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """invoice_id, row_idx, amount, score for every positive amount of a footer, by keyword, place, agreement with ``sums``
-    (invoice_id, lines_sum), size, VAT rows nearby, currency and spacing. Amounts of a row that repeat are scored once."""
+    (invoice_id, lines_sum), size, VAT rows nearby, currency, spacing, and font where ``font_size`` is a column. Amounts of a
+    row that repeat are scored once. ``offers``, where given, is the row's array of struct(amount, ...) to score instead; its
+    other fields and the columns in ``keep`` stay."""
     w, whole = _ordered(), Window.partitionBy("invoice_id")
     low = F.lower("text")
     vat = low.contains("moms") | low.contains("vat") | low.contains("mervärdesskatt")
@@ -118,7 +129,13 @@ def score_totals(footer: DataFrame, sums: DataFrame) -> DataFrame:
     # The nearest row before comes first, at two rows' distance before one.
     near = F.when(F.lag("_vat", 2, False).over(w), 0.03).when(close(1), 0.05).when(F.lead("_vat", 2, False).over(w), 0.03).otherwise(0.0)
     facts = facts.withColumn("_near", near).withColumn("_alone", gap(F.col("y"), F.lag("y").over(w)) + gap(F.lead("y").over(w), F.col("y")))
-    listed = facts.join(sums.select("invoice_id", "lines_sum"), "invoice_id", "left").withColumn("amount", F.explode(F.array_distinct("_amounts")))
+    font = F.lit(0.0)
+    if "font_size" in footer.columns:  # the row's mean size against that of the footer's ``font_tokens``
+        weight = F.when(F.col("font_size").isNotNull(), F.col("font_tokens") if "font_tokens" in footer.columns else F.lit(1))
+        facts = facts.withColumn("_font", F.col("font_size") / (F.sum(F.col("font_size") * weight).over(whole) / F.sum(weight).over(whole)))
+        font = F.when(F.col("_font") > 1.1, 0.05).when(F.col("_font") > 0.95, 0.02).otherwise(0.0)
+    offered = F.transform(F.array_distinct("_amounts"), lambda v: F.struct(v.alias("amount"))) if offers is None else offers
+    listed = facts.join(sums.select("invoice_id", "lines_sum"), "invoice_id", "left").withColumn("_offer", F.explode(offered)).withColumn("amount", F.col("_offer.amount"))
     word = F.lit(0.0)
     for words, weight in reversed(TOTAL_WORDS):
         word = F.when(R.any_of(low, words), weight).otherwise(word)
@@ -133,7 +150,9 @@ def score_totals(footer: DataFrame, sums: DataFrame) -> DataFrame:
     maths = F.when(F.col("lines_sum").isNull(), 0.0).when(agrees, 0.32).when(a > 1000, large).otherwise(small)
     size = F.when(a >= F.col("_largest") * F.lit("0.98").cast("decimal(3,2)"), 0.08).when(a >= F.col("_largest") * F.lit("0.90").cast("decimal(3,2)"), 0.05).otherwise(0.0)
     money = F.when(R.any_of(low, R.CURRENCY), 0.03).otherwise(0.0)
-    return listed.select("invoice_id", "row_idx", "amount", (a >= F.col("_largest")).alias("largest"), F.least(F.lit(1.0), word + place + maths + size + F.col("_near") + money + F.col("_alone")).alias("score"))
+    score = F.least(F.lit(1.0), word + place + maths + size + font + F.col("_near") + money + F.col("_alone")).alias("score")
+    more = [] if offers is None else ["_offer", *keep]
+    return listed.select("invoice_id", "row_idx", "amount", (a >= F.col("_largest")).alias("largest"), score, *more)
 
 
 def shown_candidates(scored: DataFrame, footer: DataFrame, most: int = 10) -> DataFrame:
@@ -165,14 +184,15 @@ def item_lines(items: DataFrame) -> DataFrame:
     """Line items of text rows: invoice_id, row_idx, line_number, description, quantity, unit, unit_price,
     amount, discount, vat_rate.
 
-    Rows between a table header and the net total belong to the table (all rows, where no header is found). A row with an
-    amount that is no summation row starts a line; rows without an amount or item start are appended to the line above."""
+    Rows between a table header and the net total belong to the table (all rows, where no header is found); in a table, only
+    amounts after the VAT mark count. A row with an amount that is no summation row starts a line; rows without an
+    amount or item start are appended to the line above, whose description then is the texts of all its rows."""
     w, whole = _ordered(), Window.partitionBy("invoice_id")
     header = F.when(R.is_table_header(F.col("text")), F.col("row_idx"))
     facts = items.withColumn("_from", F.min(header).over(whole))
     facts = facts.withColumn("_to", F.min(F.when((F.col("row_idx") > F.col("_from")) & F.col("text").rlike(r"(?i)nettobelopp\s+exkl\.?\s*moms"), F.col("row_idx"))).over(whole))
     inside = (F.col("_from").isNull() | (F.col("row_idx") > F.col("_from"))) & (F.col("_to").isNull() | (F.col("row_idx") < F.col("_to")))
-    block = facts.filter(inside).withColumn("_a", R.line_amount(F.col("text"))).filter(~R.is_footer_row(F.col("text"), F.col("_a"))).withColumn("_line", F.sum(F.col("_a").isNotNull().cast("int")).over(w))
+    block = facts.filter(inside).withColumn("_a", R.anchored_amount(F.col("text"), F.col("_from").isNotNull())).filter(~R.is_footer_row(F.col("text"))).withColumn("_line", F.sum(F.col("_a").isNotNull().cast("int")).over(w))
     named = F.when(F.col("_a").isNotNull(), R.before_mark(F.col("text"), F.col("_a.mark"))).otherwise(F.col("text"))
     # A quantity with a unit closes the description; numbers after it are prices and discounts.
     measured = rf"(?iu)^(.*?)(?:^|\s)(-?\d+(?:[.,]\d+)?)\s+({'|'.join(re.escape(u) for u in sorted(R.UNITS, key=len, reverse=True))})(?=\s|$)(.*)$"
@@ -182,9 +202,10 @@ def item_lines(items: DataFrame) -> DataFrame:
     words = F.trim(F.coalesce(part(1), F.regexp_replace("_named", r"(?:(?<=\s)[-\d.,%]+\s*)+$", "")))
     described = F.when(F.col("_a").isNotNull(), F.regexp_replace(words, r"^\d{5,}\s+", "")).otherwise(F.trim("text"))
     grouped = block.filter((F.col("_line") > 0) & (F.col("_a").isNotNull() | ~R.starts_item(F.col("text")))).withColumn("_d", described)
-    texts = F.array_sort(F.collect_list(F.struct("row_idx", "_d")))
+    texts = F.array_sort(F.collect_list(F.struct("row_idx", F.trim("text").alias("t"))))
+    one = F.max(F.when(F.col("_a").isNotNull(), F.col("_d")))
     lines = grouped.groupBy("invoice_id", "_line").agg(
-        F.min("row_idx").alias("row_idx"), F.array_join(F.transform(texts, lambda r: r["_d"]), " ").alias("description"), F.max("_quantity").alias("quantity"), F.max("_unit").alias("unit"), F.max("_price").alias("unit_price"),
+        F.min("row_idx").alias("row_idx"), F.when(F.count(F.lit(1)) == 1, one).otherwise(F.array_join(F.transform(texts, lambda r: r["t"]), " ")).alias("description"), F.max("_quantity").alias("quantity"), F.max("_unit").alias("unit"), F.max("_price").alias("unit_price"),
         F.max("_a.amount").alias("amount"), F.max("_a.discount").alias("discount"), F.max(R.vat_rate(F.col("text"))).alias("vat_rate"),
     )
     return lines.select("invoice_id", "row_idx", F.col("_line").cast("int").alias("line_number"), "description", "quantity", "unit", "unit_price", "amount", "discount", "vat_rate")

@@ -35,9 +35,9 @@ def group_rows(tokens: DataFrame, *, page: tuple[str, ...] = ("doc_id", "page_nu
 
 
 def row_table(tokens: DataFrame, *, page: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
-    """Rows: mean y, x range, text in x order."""
+    """Rows: mean y, x range, text in x order, height of the first token."""
     words = F.transform(F.array_sort(F.collect_list(F.struct("x", "token_idx", "text"))), lambda t: t["text"])
-    return tokens.groupBy(*page, "row_idx").agg(F.avg("y").alias("y"), F.min("x").alias("x_min"), F.max(F.col("x") + F.col("width")).alias("x_max"), F.array_join(words, " ").alias("text"), F.max("page_height").alias("page_height"))
+    return tokens.groupBy(*page, "row_idx").agg(F.avg("y").alias("y"), F.min("x").alias("x_min"), F.max(F.col("x") + F.col("width")).alias("x_max"), F.array_join(words, " ").alias("text"), F.max("page_height").alias("page_height"), F.min_by("height", F.struct("x", "token_idx")).alias("height"))
 
 
 def reading_tolerance(height: Column) -> Column:
@@ -65,9 +65,14 @@ def segments(rows: DataFrame, *, page: tuple[str, ...] = ("doc_id", "page_number
     return copies.groupBy(*page, "segment_type").agg(F.count(F.lit(1)).alias("n_rows"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
 
 
+def _bottom(rows: DataFrame) -> Column:
+    """Where a row ends: 12 points below its y where its height is not known."""
+    return F.col("y") + (F.coalesce("height", F.lit(12.0)) if "height" in rows.columns else F.lit(12.0))
+
+
 def gap_threshold(rows: DataFrame, *, page: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
-    """1.5 times the page's median positive gap between rows; 15 without one."""
-    gap = F.lead("y").over(Window.partitionBy(*page).orderBy("y", "row_idx")) - F.col("y")
+    """1.5 times the page's median positive gap between a row's end and the next row; 15 without one."""
+    gap = F.lead("y").over(Window.partitionBy(*page).orderBy("y", "row_idx")) - _bottom(rows)
     return rows.withColumn("_gap", gap).groupBy(*page).agg(F.coalesce(F.median(F.when(F.col("_gap") > 0, F.col("_gap"))) * 1.5, F.lit(15.0)).alias("gap_threshold"))
 
 
@@ -76,7 +81,7 @@ def absorb_wraps(rows: DataFrame, *, page: tuple[str, ...] = ("doc_id", "page_nu
     the gap stays within the page's threshold and x is within 2 % of the page width left or 5 % right of the line's start."""
     order = Window.partitionBy(*page).orderBy("y", "row_idx")
     joined = rows.join(gap_threshold(rows, page=page), list(page))
-    line = joined.withColumn("line_number", F.sum(F.col("starts").cast("int")).over(order)).withColumn("_gap", F.col("y") - F.lag("y").over(order))
+    line = joined.withColumn("line_number", F.sum(F.col("starts").cast("int")).over(order)).withColumn("_gap", F.col("y") - F.lag(_bottom(rows)).over(order))
     own = Window.partitionBy(*page, "line_number")
     start_x = F.min(F.when(F.col("starts"), F.col("x_min"))).over(own)
     fits = F.col("starts") | ((F.col("_gap") <= F.col("gap_threshold")) & (F.col("x_min") - start_x).between(F.col("page_width") * -0.02, F.col("page_width") * 0.05))
@@ -125,7 +130,7 @@ def assign_columns(tokens: DataFrame, centers: str | list[float] = "centers", pa
         return tokens.withColumn("column", F.when(best > 0, first(overlap, best)).otherwise(first(distance, near)))
     spans = F.transform(
         centers, lambda c, i: F.struct(
-            -F.greatest(F.lit(0.0), F.least(right, F.coalesce((c + F.get(centers, i + 1)) / 2, width)) - F.greatest(left, F.coalesce((c + F.get(centers, F.when(i > 0, i - 1))) / 2, F.lit(0.0)))).alias("o"), i.alias("i"), F.abs(c - (left + F.col("width") / 2)).alias("d"),
+            (-F.greatest(F.lit(0.0), F.least(right, F.coalesce((c + F.get(centers, i + 1)) / 2, width)) - F.greatest(left, F.coalesce((c + F.get(centers, F.when(i > 0, i - 1))) / 2, F.lit(0.0))))).alias("o"), i.alias("i"), F.abs(c - (left + F.col("width") / 2)).alias("d"),
         ),
     )
     column = let(spans, lambda s: let(F.array_min(s), lambda best: F.when(best["o"] < 0, best["i"]).otherwise(F.array_min(F.transform(s, lambda x: F.struct(x["d"].alias("d"), x["i"].alias("i"))))["i"])))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +21,24 @@ class RoutingConfig:
     allow_quality_override: bool = True
 
 
+def sound_pattern(pattern: str) -> str:
+    """The pattern, or its letters as they are where it is none."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return "".join(f"\\{c}" if not (c.isalnum() or c == "_" or c.isspace()) else c for c in pattern)
+    return pattern
+
+
+def matching(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Those of the patterns that the text matches, in their order, without case."""
+    return flags(*[(F.coalesce(text.rlike(f"(?iu){sound_pattern(p)}"), F.lit(False)), p) for p in patterns]) if patterns else F.array().cast("array<string>")
+
+
 def any_match(text: Column, patterns: tuple[str, ...]) -> Column:
     hit = F.lit(False)
     for p in patterns:
-        hit = hit | F.coalesce(text.rlike(f"(?iu){p}"), F.lit(False))
+        hit = hit | F.coalesce(text.rlike(f"(?iu){sound_pattern(p)}"), F.lit(False))
     return hit
 
 
@@ -54,12 +69,34 @@ def structured_signals(pages: DataFrame, *, required: tuple[str, ...], extra: tu
     return pages.withColumn("signals", signals).withColumn("edi_like", like)
 
 
+def overlaid(config: RoutingConfig, settings: dict | None) -> RoutingConfig:
+    """The configuration with a profile's settings over it; names it does not know are passed over."""
+    known = {f.name for f in fields(config)}
+    return replace(config, **{k: tuple(v) if isinstance(v, list) else v for k, v in (settings or {}).items() if k in known})
+
+
+#: The policy's defaults.
+POLICY = {"allow_ai_for_edi": False, "force_review_on_edi_fail": True, "min_edi_signals": 2, "min_text_quality": 0.5}
+
+
+def policy_of(settings: dict | None) -> dict:
+    return POLICY | {k: v for k, v in (settings or {}).items() if k in POLICY and v is not None}
+
+
 def policy_gate(pages: DataFrame, *, allow_structured: bool = False, review_on_failure: bool = True) -> DataFrame:
-    """Adds allow_ai and gate_reason from edi_like and status."""
+    """Adds allow_ai, gate_reason and ``gate_flags`` from edi_like, signals and status; also from ``fallback_passed`` (NULL: not tried,
+    see ``fallback_attempted``) and ``extraction_source`` where they are columns."""
     sound = F.coalesce(F.col("status").isin("OK", "PARTIAL"), F.lit(False))
     allow = F.when(~F.col("edi_like"), True).when(~sound & F.lit(review_on_failure), False).otherwise(allow_structured)
     reason = F.when(F.col("edi_like") & sound & F.lit(not allow_structured), "edi_blocked_validation_ok").when(F.col("edi_like") & ~sound & F.lit(review_on_failure), "edi_force_review").when(F.col("edi_like") & ~sound & F.lit(not allow_structured), "edi_blocked_validation_fail")
-    return pages.withColumns({"allow_ai": allow, "gate_reason": reason})
+    tried = F.coalesce("fallback_attempted", F.lit(False)) if "fallback_attempted" in pages.columns else F.lit(False)
+    passed = F.col("fallback_passed") if "fallback_passed" in pages.columns else F.lit(None).cast("boolean")
+    source = F.col("extraction_source") if "extraction_source" in pages.columns else F.lit(None).cast("string")
+    told = F.array(
+        F.when(F.col("status").isNull(), "validation_missing").when(sound, "validation_passed").otherwise("validation_failed"), F.when(tried, "fallback_attempted").otherwise("fallback_not_attempted"),
+        F.when(tried & passed, "fallback_passed").when(tried & ~passed, "fallback_failed"), reason, F.when(F.coalesce(source, F.lit("")) != "", F.concat(F.lit("source:"), source)),
+    )
+    return pages.withColumns({"allow_ai": allow, "gate_reason": reason, "gate_flags": F.array_compact(F.concat(F.array_distinct("signals"), told))})
 
 
 def document_type(pages: DataFrame, file: str = "file_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import numbers, text
 from ledgerline.operators import analytics, calibration, layout, learning, reconcile, routing
-from ledgerline.plans import extracted
+from ledgerline.plans import checked, extracted, page_sql
 from ledgerline.plans import views_sql as sql
 from ledgerline.sources import tables
 
@@ -30,11 +30,11 @@ def registered(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | extracted.QUERIES
+    return _QUERIES | extracted.QUERIES | checked.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES | extracted.ORACLES
+    return _ORACLES | extracted.ORACLES | checked.ORACLES | page_sql.ORACLES
 
 
 INVOICE = ["invoice_number", "supplier_name", "invoice_date", "total_amount", "status"]
@@ -102,33 +102,9 @@ registered("recon_lines_sum", f"WITH {sql.HEADERS} SELECT invoice_id, lines_sum,
 registered("recon_pct_tolerance", f"WITH {sql.HEADERS} SELECT invoice_id, flat_ok, scaled_ok FROM v")(lambda s, d: reconciled(s, d).select("invoice_id", "flat_ok", "scaled_ok"))
 
 
-@registered(
-    "recon_net_vat",
-    f"""WITH {sql.LINES}, n AS (SELECT invoice_id, CAST(sum(line_total) AS DECIMAL(28,2)) AS net FROM lines GROUP BY 1), t AS (
-    SELECT invoice_id, net, CAST(net + CASE WHEN invoice_id % 3 = 0 THEN 0.75 ELSE 0.25 END AS DECIMAL(28,2)) AS stated, CAST(round(net * 0.25, 2) AS DECIMAL(28,2)) AS vat FROM n)
-    SELECT invoice_id, net, CAST(stated - net AS DECIMAL(28,2)) AS net_diff, abs(stated - net) <= 0.50 AS net_ok, vat, CAST(stated - net AS DECIMAL(28,2)) AS gross_diff, abs(stated - net) <= 0.50 AS gross_ok FROM t""",
-)
-def recon_net_vat(s: SparkSession, d: str) -> DataFrame:
-    n = tables.lines(s, d).groupBy("invoice_id").agg(F.sum("line_total").cast("decimal(28,2)").alias("net"))
-    stated = (F.col("net") + F.when(F.col("invoice_id") % 3 == 0, F.lit("0.75")).otherwise(F.lit("0.25")).cast("decimal(18,2)")).cast("decimal(28,2)")
-    vat = F.round(F.col("net") * F.lit("0.25").cast("decimal(4,2)"), 2).cast("decimal(28,2)")
-    n = n.withColumns({"stated": stated, "vat": vat})
-    net_diff, gross_diff = (F.col("stated") - F.col("net")).cast("decimal(28,2)"), (F.col("stated") + F.col("vat") - (F.col("net") + F.col("vat"))).cast("decimal(28,2)")
-    return n.select("invoice_id", "net", net_diff.alias("net_diff"), reconcile.flat_pass(net_diff, 0.5).alias("net_ok"), "vat", gross_diff.alias("gross_diff"), reconcile.flat_pass(gross_diff, 0.5).alias("gross_ok"))
-
-
 registered("invoice_status", f"WITH {sql.HEADERS} SELECT invoice_id, gate, status FROM v")(lambda s, d: reconciled(s, d).select("invoice_id", "gate", "status"))
 
 
-@registered(
-    "line_validation",
-    f"""WITH {sql.LINES}, l AS (SELECT *, CAST(price / quantity AS DECIMAL(18,4)) AS unit_price FROM (SELECT *, CAST(price AS DECIMAL(18,2)) p FROM lines))
-    SELECT invoice_id, line_number, discount, line_total, CASE WHEN discount BETWEEN 0 AND 1 THEN 'percent' ELSE 'amount' END AS discount_kind FROM l""",
-)
-def line_validation(s: SparkSession, d: str) -> DataFrame:
-    return reconcile.check_line(tables.lines(s, d)).select("invoice_id", "line_number", "discount", "line_total", "discount_kind")
-
-
 _SCORE = ["invoice_id", "status_penalty", "missing_penalty", "difference_penalty", "wrap_penalty", "score"]
 registered("quality_score", f"WITH {sql.HEADERS} SELECT {', '.join(_SCORE)} FROM sc")(lambda s, d: reconcile.quality(reconciled(s, d)).select(_SCORE))
 registered("batch_rollup", f"WITH {sql.HEADERS} SELECT file_id, ['OK','PARTIAL','REVIEW','FAILED'][max(CASE status WHEN 'OK' THEN 1 WHEN 'PARTIAL' THEN 2 ELSE 3 END)] AS worst_status, min(score) AS least_score, count(*) FILTER (status = 'OK') AS n_ok, count(*) FILTER (status = 'PARTIAL') AS n_partial, count(*) FILTER (status = 'REVIEW') AS n_review, CAST(0 AS BIGINT) AS n_failed FROM sc GROUP BY file_id")(
@@ -149,10 +125,6 @@ registered("export_rows", f"WITH {_EXPORT} SELECT {', '.join(_EX)} FROM ex")(lam
 registered("global_line_numbers", f"WITH {sql.LINES} SELECT invoice_id, line_number, part_id, line_total, CAST(row_number() OVER (PARTITION BY invoice_id ORDER BY line_number, part_id, line_total, quantity, discount) AS INT) AS global_number FROM lines")(
     lambda s, d: tables.lines(s, d).select("invoice_id", "line_number", "part_id", "line_total", F.row_number().over(Window.partitionBy("invoice_id").orderBy("line_number", "part_id", "line_total", "quantity", "discount")).alias("global_number"))
 )
-registered("invoice_load", f"WITH {_EXPORT} SELECT invoice_id, min(supplier_name) AS supplier_name, count(*) AS n_lines, CAST(sum(line_total) AS DECIMAL(28,2)) AS total FROM ex GROUP BY invoice_id")(
-    lambda s, d: export(s, d).groupBy("invoice_id").agg(F.min_by("supplier_name", F.struct("line_number", "part_id")).alias("supplier_name"), F.count(F.lit(1)).alias("n_lines"), F.sum("line_total").cast("decimal(28,2)").alias("total"))
-)
-
 # --- scalar parsing ---
 
 _RENDER = "CASE o_orderkey % 6 WHEN 0 THEN replace(CAST(t AS VARCHAR), '.', ',') WHEN 1 THEN '-' || CAST(t AS VARCHAR) WHEN 2 THEN replace(CAST(t AS VARCHAR), '.', ',') || ' kr' WHEN 3 THEN 'SEK ' || CAST(t AS VARCHAR) WHEN 4 THEN CAST(t AS VARCHAR) || '-' ELSE 'x' || CAST(t AS VARCHAR) END"
@@ -172,12 +144,12 @@ def number_parse(s: SparkSession, d: str) -> DataFrame:
 
 @registered(
     "text_normalise",
-    r"SELECT s_suppkey, lower(strip_accents('Ålands  ' || s_name || ' Société')) = lower(strip_accents('Ålands  ' || s_name || ' Société')) AS same, regexp_replace(lower(strip_accents('Ålands  ' || s_name || ' Société')), '\s+', ' ', 'g') AS plain, trim(regexp_replace(translate(lower('Fakt:nr # ' || s_name), ':#', '  '), '\s+', ' ', 'g')) AS label, regexp_replace(regexp_replace('a/b ' || s_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS path FROM supplier",
+    r"SELECT s_suppkey, regexp_replace(lower(strip_accents('Ålands  ' || s_name || ' Société')), '\s+', ' ', 'g') AS plain, trim(regexp_replace(translate(lower('Fakt:nr # ' || s_name), ':#', '  '), '\s+', ' ', 'g')) AS label, regexp_replace(regexp_replace('a/b ' || s_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS path FROM supplier",
 )
 def text_normalise(s: SparkSession, d: str) -> DataFrame:
     n = F.col("s_name")
     t = tables.table(s, d, "supplier")
-    return t.select("s_suppkey", F.lit(True).alias("same"), text.plain_lower(F.concat(F.lit("Ålands  "), n, F.lit(" Société"))).alias("plain"), text.label_text(F.concat(F.lit("Fakt:nr # "), n)).alias("label"), text.path_key(F.concat(F.lit("a/b "), n)).alias("path"))
+    return t.select("s_suppkey", text.plain_lower(F.concat(F.lit("Ålands  "), n, F.lit(" Société"))).alias("plain"), text.label_text(F.concat(F.lit("Fakt:nr # "), n)).alias("label"), text.path_key(F.concat(F.lit("a/b "), n)).alias("path"))
 
 
 @registered(
@@ -191,13 +163,6 @@ def version_bands(s: SparkSession, d: str) -> DataFrame:
     return tables.table(s, d, "customer").select("c_custkey", text.compatibility(v, F.lit("1.2.3")).alias("band"))
 
 
-registered("date_parse", "SELECT o_orderkey AS invoice_id, CAST(o_orderdate AS DATE) AS parsed FROM orders")(
-    lambda s, d: tables.table(s, d, "orders").select(
-        F.col("o_orderkey").alias("invoice_id"),
-        F.coalesce(*[F.try_to_timestamp(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(f)).cast("date") for f in ("yyyy-MM-dd", "dd.MM.yyyy")]).alias("parsed"),
-    )
-)
-
 # --- text quality and routing ---
 
 registered(
@@ -225,11 +190,6 @@ registered(
     CASE WHEN share >= 0.8 AND total_chars > 200 THEN 'HIGH' WHEN share >= 0.5 AND total_chars > 50 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM h""",
 )(lambda s, d: routing.document_type(tables.table(s, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("file_id"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")).alias("text"))))
 
-_PATHS = ["AI_request.json", "run_summary.json", "out/a.XLSX", "review/x.png", "p/tokens/1.json", "p/rows/1.json", "p/segments/1.json", "misc.bin", "ai_other.txt", "deep/review_1.json"]
-_TYPES = ["ai/ai_enrichment", "summary/", "excel/export", "debug/validation", "tokens/tokenization", "rows/row_grouping", "segments/segment_identification", "debug/", "ai/ai_enrichment", "debug/validation"]
-registered("artifact_index", " UNION ALL ".join(f"SELECT '{p}' AS path, '{t}' AS kind" for p, t in zip(_PATHS, _TYPES, strict=True)))(lambda s, d: s.createDataFrame([(p,) for p in _PATHS], "path string").select("path", routing.artifact_type(F.col("path")).alias("kind")))
-
-
 @registered(
     "choose_best",
     f"""WITH {sql.HEADERS}, p AS (SELECT invoice_id, scaled_ok AS a_ok, CASE WHEN invoice_id % 23 = 0 THEN 'FAILED' ELSE status END AS a_status, total_confidence AS a_t, number_confidence AS a_n, invoice_id % 4 = 0 AS b_ok, 'OK' AS b_status, CAST(0.95 AS DOUBLE) AS b_t, CAST(0.93 AS DOUBLE) AS b_n FROM v),
@@ -243,11 +203,6 @@ def choose_best(s: SparkSession, d: str) -> DataFrame:
     return reconcile.choose_best(v.withColumns(a | b)).select("invoice_id", "chosen")
 
 
-registered(
-    "ocr_metrics",
-    "SELECT user_id AS page, count(*) AS n, avg(event_id % 101)::DOUBLE AS mean, median(event_id % 101)::DOUBLE AS median, avg(CASE WHEN event_id % 101 < 50 THEN 1.0 ELSE 0.0 END)::DOUBLE AS low_share FROM events GROUP BY user_id",
-)(lambda s, d: tables.table(s, d, "events").withColumn("c", (F.col("event_id") % 101).cast("double")).groupBy(F.col("user_id").alias("page")).agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean"), F.median("c").alias("median"), F.avg((F.col("c") < 50).cast("double")).alias("low_share")))
-
 # --- learning ---
 
 registered("corrections_keep_best", f"WITH {sql.CORRECTIONS} SELECT invoice_id, supplier_name, corrected_total, confidence, arrival FROM cor QUALIFY row_number() OVER (PARTITION BY invoice_id ORDER BY coalesce(confidence, 0) DESC, arrival) = 1")(
@@ -369,30 +324,3 @@ def invoice_boundaries(s: SparkSession, d: str) -> DataFrame:
     shown = F.when(k % 3 == 0, F.concat(F.lit("Sida "), (F.col("turn") % 3 + 1), F.lit("/3"))).otherwise("")
     pages = c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), F.when(k % 4 == 0, F.concat(F.lit("INV-"), (k % 8))).alias("invoice_no"), text.page_counter(shown).alias("counter"))
     return layout.invoice_boundaries(pages)
-
-
-registered(
-    "constraint_rejects",
-    f"""WITH {sql.HEADERS} SELECT 'line_total' AS rule, count(*) FILTER (line_total <= 0) AS rejected FROM lines UNION ALL SELECT 'confidence', count(*) FILTER (number_confidence NOT BETWEEN 0 AND 1 OR total_confidence NOT BETWEEN 0 AND 1) FROM v UNION ALL SELECT 'status', count(*) FILTER (status NOT IN ('OK', 'PARTIAL', 'REVIEW')) FROM v
-    UNION ALL SELECT 'score', count(*) FILTER (score NOT BETWEEN 0 AND 100) FROM sc UNION ALL SELECT 'lines_sum', count(*) FILTER (lines_sum < 0) FROM v""",
-)(
-    lambda s, d: tables.lines(s, d).agg(F.lit("line_total").alias("rule"), F.count_if(F.col("line_total") <= 0).alias("rejected")).unionByName(
-        reconcile.quality(reconciled(s, d)).agg(F.count_if(~F.col("number_confidence").between(0, 1) | ~F.col("total_confidence").between(0, 1)).alias("confidence"), F.count_if(~F.col("status").isin("OK", "PARTIAL", "REVIEW")).alias("status"), F.count_if(~F.col("score").between(0, 100)).alias("score"), F.count_if(F.col("lines_sum") < 0).alias("lines_sum")).unpivot([], ["confidence", "status", "score", "lines_sum"], "rule", "rejected")
-    )
-)
-
-# --- diagnostics ---
-
-_DIAG = f"{_EXPORT}, g AS (SELECT invoice_id, line_number, quantity, line_total, CASE WHEN quantity >= 40 THEN true ELSE false END AS large_quantity, CASE WHEN line_total < 1000 THEN true ELSE false END AS small_total, discount > 0.08 AS deep_discount FROM ex)"
-registered("diag_categories", f"WITH {_DIAG}, r AS (SELECT unnest(list_filter([CASE WHEN large_quantity THEN 'large_quantity' END, CASE WHEN small_total THEN 'small_total' END, CASE WHEN deep_discount THEN 'deep_discount' END], lambda x: x IS NOT NULL)) AS reason FROM g) SELECT reason, count(*) AS n FROM r GROUP BY 1")(
-    lambda s, d: export(s, d).select(F.explode(routing.flags((F.col("quantity") >= 40, "large_quantity"), (F.col("line_total") < 1000, "small_total"), (F.col("discount") > F.lit(0.08).cast("decimal(4,2)"), "deep_discount"))).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-)
-registered("line_diff", f"WITH {sql.LINES}, b AS (SELECT invoice_id, line_number, CAST(sum(line_total) AS DECIMAL(28,2)) AS t FROM lines GROUP BY 1, 2), c AS (SELECT invoice_id, line_number, CASE WHEN invoice_id % 10 = 0 THEN t + 1 WHEN invoice_id % 10 = 1 THEN NULL ELSE t END AS t2 FROM b) SELECT b.invoice_id, b.line_number FROM b JOIN c ON b.invoice_id = c.invoice_id AND b.line_number = c.line_number WHERE t IS DISTINCT FROM t2")(
-    lambda s, d: _line_diff(tables.lines(s, d).groupBy("invoice_id", "line_number").agg(F.sum("line_total").cast("decimal(28,2)").alias("t")))
-)
-
-
-def _line_diff(a: DataFrame) -> DataFrame:
-    k = F.col("invoice_id") % 10
-    b = a.select("invoice_id", "line_number", F.when(k == 0, F.col("t") + 1).when(k != 1, F.col("t")).alias("t2"))
-    return a.join(b, ["invoice_id", "line_number"]).filter(~F.col("t").eqNullSafe(F.col("t2"))).select("invoice_id", "line_number")

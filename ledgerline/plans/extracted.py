@@ -100,7 +100,7 @@ ORACLES = {
     "strategy_retry": _TRIED,
     "ground_truth_load": "SELECT c_custkey % 4 / CAST(4.0 AS DOUBLE) AS raw_confidence, c_custkey % 3 <> 2 AS actual_correct, count(*) AS n FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 GROUP BY 1, 2",
     "amount_candidates": f"WITH {_ITEMS} SELECT l_orderkey AS invoice_id, CAST(k * 2 AS INT) AS row_idx, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount, CAST(l_quantity AS DECIMAL(18,2)) AS discount, true AS starts FROM o",
-    "line_items": f"WITH {_ITEMS} SELECT l_orderkey AS invoice_id, CAST(k AS INT) AS line_number, 'Skruv rostfri stor' || CASE WHEN k % 3 = 0 THEN ' med bricka' ELSE '' END AS description, CAST(l_quantity AS DECIMAL(18,2)) AS quantity, 'st' AS unit, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM o",
+    "line_items": f"WITH {_ITEMS} SELECT l_orderkey AS invoice_id, CAST(k AS INT) AS line_number, CASE WHEN k % 3 = 0 THEN '70000' || l_partkey || ' Skruv rostfri stor ' || CAST(l_quantity AS INT) || ' st ' || replace(CAST(l_extendedprice AS DECIMAL(18,2))::VARCHAR, '.', ',') || ' med bricka' ELSE 'Skruv rostfri stor' END AS description, CAST(l_quantity AS DECIMAL(18,2)) AS quantity, 'st' AS unit, CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM o",
     "page_context": f"""WITH {_HEADER_ROWS}, p AS (SELECT invoice_id, CASE WHEN row_idx * 20 + 20 < 70 THEN 'header' ELSE 'items' END AS seg, string_agg(text, chr(10) ORDER BY row_idx) AS t FROM hr GROUP BY 1, 2)
     SELECT invoice_id, string_agg('--- ' || upper(seg) || ' ---' || chr(10) || t, chr(10) ORDER BY seg) AS context FROM p GROUP BY 1""",
 }

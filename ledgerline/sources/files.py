@@ -5,6 +5,9 @@ All go through Spark's readers and writers, so every store Spark can open works.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,18 @@ POINTS = "supplier string, field string, x double, y double, weight bigint"
 REQUIRED = ("invoice_id", "invoice_number", "supplier_name", "total_amount")
 
 
+def keeper(folder: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a frame as a table of its own below ``folder`` (one that all executors share) and gives it back read."""
+    numbers = itertools.count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder.rstrip('/')}/{next(numbers):04}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
 def scan_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """path, modified, size of every matching file below ``folder``; contents are not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
@@ -26,8 +41,10 @@ def scan_documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") ->
 def index_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """path (below the folder), kind, size and sha256 of every file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = folder.rstrip("/").rsplit("/", 1)[-1]
-    relative = F.regexp_replace("path", f"^.*?/{root}/", "")
+    # Paths come back qualified by the store; the folder is qualified alike and cut off as a whole.
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
+    relative = F.substring("path", F.lit(len(root) + 2), F.length("path"))
     return files.select(relative.alias("path"), artifact_type(relative).alias("kind"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
@@ -58,7 +75,8 @@ def read_export(spark: SparkSession, path: str, kind: str = "parquet", schema: s
 def write_batch_summary(batch: DataFrame, path: str) -> None:
     """One CSV of a batch's files, failures first, then by status and name."""
     rank = F.when(F.col("status") == "FAILED", 0).when(F.col("status") == "REVIEW", 1).when(F.col("status") == "PARTIAL", 2).otherwise(3)
-    batch.orderBy(rank, "filename").coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    # One file by contract; a range of one partition sorts it where it is written, after the work above ran in parallel.
+    batch.repartition(1).sortWithinPartitions(rank, "filename").write.mode("overwrite").option("header", "true").csv(path)
 
 
 def write_reports(invoices: DataFrame, path: str) -> None:
@@ -67,8 +85,14 @@ def write_reports(invoices: DataFrame, path: str) -> None:
 
 
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
-    """Corrections from JSON lists; ``arrival`` follows the file order within a file."""
-    return spark.read.schema(CORRECTION).option("multiLine", "true").json(path).withColumn("arrival", F.monotonically_increasing_id())
+    """Corrections from JSON lists; ``arrival`` follows the files' names, then the order within a file.
+
+    Each file is read as one text, so the order does not depend on how files fall into partitions."""
+    texts = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    listed = texts.select("file", F.posexplode(F.from_json("value", f"array<struct<{', '.join(f'{n}:{t}' for n, t in (c.split() for c in CORRECTION.split(', ')))}>>")).alias("place", "c"))
+    ranks = texts.select("file").distinct().agg(F.array_sort(F.collect_list("file")).alias("files"))
+    numbered = listed.join(F.broadcast(ranks))  # one row: the files' names
+    return numbered.select("c.*", (F.array_position("files", F.col("file")) * F.lit(2**32) + F.col("place")).alias("arrival"))
 
 
 def truth_rows(raw: DataFrame, *, strict: bool) -> DataFrame:
@@ -76,16 +100,17 @@ def truth_rows(raw: DataFrame, *, strict: bool) -> DataFrame:
     and unreadable rows are left out. Truth words are true, 1, yes and y; any other word is false."""
     value, word = F.col("raw_confidence").try_cast("double"), F.lower(F.trim(F.col("actual_correct").cast("string")))
     good = F.coalesce(value.between(0, 1), F.lit(False))
-    rows = raw.select(value.alias("raw_confidence"), word.isin(*TRUE_WORDS).alias("actual_correct"), good.alias("_good"))
+    more = [c for c in ("supplier", "field") if c in raw.columns]
+    rows = raw.select(value.alias("raw_confidence"), word.isin(*TRUE_WORDS).alias("actual_correct"), *more, good.alias("_good"))
     if strict:
-        return rows.select(F.when(F.col("_good"), F.col("raw_confidence")).otherwise(F.raise_error(F.lit("raw_confidence must lie between 0 and 1")).cast("double")).alias("raw_confidence"), "actual_correct")
+        return rows.select(F.when(F.col("_good"), F.col("raw_confidence")).otherwise(F.raise_error(F.lit("raw_confidence must lie between 0 and 1")).cast("double")).alias("raw_confidence"), "actual_correct", *more)
     return rows.filter("_good and actual_correct is not null").drop("_good")
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """Calibration truth from JSON lists (strict) or CSV with a header (bad rows are skipped)."""
     if path.rstrip("/").endswith(".json"):
-        return truth_rows(spark.read.schema("raw_confidence double, actual_correct boolean").option("multiLine", "true").json(path), strict=True)
+        return truth_rows(spark.read.schema("raw_confidence double, actual_correct boolean, supplier string, field string").option("multiLine", "true").json(path), strict=True)
     if path.rstrip("/").endswith(".csv"):
         raw = spark.read.option("header", "true").csv(path)
         if not {"raw_confidence", "actual_correct"} <= set(raw.columns):

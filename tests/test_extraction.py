@@ -62,9 +62,12 @@ def test_totals(spark):
 
 
 def test_items(spark):
-    items = page(spark, "Artikelnr Benämning Nettobelopp", "12345 Skruv 10 st 5,00 50,00", "med bricka", "20001 Mutter 2 st 10,00 25,00 15,00", "Nettobelopp exkl. moms 65,00", "9 st 3,00")
-    got = [(r.line_number, r.description, r.quantity, r.unit, r.unit_price, r.amount) for r in extraction.item_lines(items).orderBy("line_number").collect()]
-    assert got == [(1, "Skruv med bricka", 10, "st", 5, 50), (2, "Mutter", 2, "st", 10, 15)]
+    items = page(spark, "Artikelnr Benämning Nettobelopp", "12345 Skruv 10 st 5,00 25,00 50,00", "med bricka", "20001 Mutter 2 st 10,00 25,00 -5,00 15,00", "30001 Bult 1 st 4,00", "Nettobelopp exkl. moms 65,00", "9 st 3,00")
+    got = [(r.line_number, r.description, r.quantity, r.unit, r.amount, r.discount) for r in extraction.item_lines(items).orderBy("line_number").collect()]
+    assert got == [(1, "12345 Skruv 10 st 5,00 25,00 50,00 med bricka", 10, "st", 50, None), (2, "Mutter", 2, "st", 15, 5)]  # no line without the VAT mark
+    loose = page(spark, "12345 Skruv 10 st 5,00 50,00", "20001 Mutter 2 st 10,00 25,00 15,00")
+    got = [(r.line_number, r.description, r.quantity, r.unit_price, r.amount) for r in extraction.item_lines(loose).orderBy("line_number").collect()]
+    assert got == [(1, "Skruv", 10, 5, 50), (2, "Mutter", 2, 10, 15)]
     assert extraction.item_lines(items.limit(0)).count() == 0
 
 
