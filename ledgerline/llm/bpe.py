@@ -25,16 +25,19 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE, LONGEST_CACHED, LONG, PART = 500_000, 64, 512, 256
 _NONE = np.int64(1) << 40
+WIDE = 1 << 27
 #: One run of non-space characters, with at most the one space before it.
 PLAIN = re.compile(r" ?\S+\Z").match
 _UNSAFE = re.compile(r" (?:\s|\Z)")
@@ -174,9 +177,12 @@ class Ranks:
             step = max(1, (1 << 20) // width)
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
-                matrix = np.full((len(part), width), -1, np.int64)
-                for r, i in enumerate(part):
-                    matrix[r, : len(matches[i])] = self.single[np.frombuffer(matches[i], np.uint8)]
+                some = [matches[i] for i in part]
+                sizes = np.fromiter(map(len, some), np.int64, len(some))
+                padded = b"".join(some if width <= 16 else [m.ljust(width, b"\0") for m in some])
+                matrix = self.single[np.frombuffer(padded, np.uint8).reshape(-1, width)]
+                if width > 16:
+                    matrix[np.arange(width) >= sizes[:, None]] = -1
                 for i, ids in zip(part, self.merge_rows(matrix), strict=True):
                     out[i] = ids
         return out
@@ -220,6 +226,18 @@ class Encoder:
     def __init__(self, encode, render, most: int):
         self.encode, self.render, self.most, self.known = encode, render, most, {}
 
+    def look_up(self, distinct: list[str]) -> list:
+        """What is known of each piece; new ones are encoded together."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        found = list(map(self.known.get, distinct))
+        fresh = [p for p, v in zip(distinct, found, strict=True) if v is None]
+        if fresh:
+            made = dict(zip(fresh, map(self.render, self.encode(fresh)), strict=True))
+            found = [made[p] if v is None else v for p, v in zip(distinct, found, strict=True)]
+            self.known.update((p, v) for p, v in made.items() if len(p) <= LONGEST_CACHED)
+        return found
+
     def __call__(self, texts: list[str | None]) -> Iterator[list]:
         for at in range(0, len(texts), 256):
             cut = [pieces(t) if t else [] for t in texts[at : at + 256]]
@@ -247,24 +265,80 @@ def shared_encoder(key: tuple, make) -> Encoder:
     return _ENCODERS[key]
 
 
+@dataclass
+class Words:
+    """The pieces of the texts in which every space is a single one: ``distinct`` pieces, their ``codes`` in the order of
+    the texts, and where each text begins and ends in them."""
+
+    plain: np.ndarray
+    distinct: list[str]
+    codes: np.ndarray
+    bounds: np.ndarray
+
+
+def words_of(texts: pa.Array, skip: re.Pattern | None = None) -> Words:
+    """Words are told apart by Arrow, once a batch. Null, empty and other texts, and those that hold ``skip``, are not ``plain``."""
+    every = texts.to_pylist()
+    plain = np.array([bool(t) and not _UNSAFE.search(t) and not (skip and skip.search(t)) for t in every], bool)
+    lists = pc.split_pattern(texts.filter(pa.array(plain, pa.bool_())).cast(pa.large_string()), " ")
+    words = lists.flatten()
+    if not len(words):
+        return Words(plain, [], np.zeros(0, np.int64), np.zeros(1, np.int64))
+    coded = words.dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    # A text's first word has no space before it.
+    known, starts = coded.dictionary.to_pylist(), bounds[:-1]
+    firsts = words.take(pa.array(starts)).dictionary_encode()
+    codes[starts] = len(known) + firsts.indices.to_numpy()
+    return Words(plain, [*(" " + w for w in known), *firsts.dictionary.to_pylist()], codes, bounds)
+
+
 @lru_cache(maxsize=4)
 def load_ranks(path: str, pattern: str) -> Ranks:
     return Ranks(path, pattern)
 
 
-def round_trip(docs: DataFrame, *, path: str, pattern: str, id_cols: list[str], text_col: str = "text") -> DataFrame:
+def digests(texts: pa.Array, encoder: Encoder) -> tuple[list[int], list[str], list[str]]:
+    """Number of ids, digest of the ids and digest of the decoded bytes of each text. ``encoder`` renders a piece as (n, ids as
+    decimal text, bytes)."""
+    # Arrow joins within 32-bit offsets; a batch with a text near that size is joined piece by piece.
+    words = words_of(texts if texts.nbytes < WIDE else pa.nulls(len(texts), pa.string()))
+    made = encoder.look_up(words.distinct)
+    sizes = np.array([m[0] for m in made], np.int64)[words.codes] if made else np.zeros(0, np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))[words.bounds]
+    joined = []
+    for i, mark in ((1, b","), (2, b"")):
+        parts = pa.array([m[i] for m in made], pa.binary()).take(pa.array(words.codes))
+        joined.append(iter(pc.binary_join(pa.ListArray.from_arrays(pa.array(words.bounds, pa.int32()), parts), pa.scalar(mark, pa.binary())).to_pylist()))
+    counts = iter(np.diff(ends).tolist())
+    others = encoder([t for t, ok in zip(texts.to_pylist(), words.plain.tolist(), strict=True) if not ok])
+    n, ids, data = [], [], []
+    for ok in words.plain.tolist():
+        if ok:
+            n.append(next(counts))
+            # Only a text's first piece can be empty; it leaves a comma.
+            text, decoded = next(joined[0]).removeprefix(b","), next(joined[1])
+        else:
+            parts = next(others)
+            n.append(sum(p[0] for p in parts))
+            text, decoded = b",".join([p[1] for p in parts if p[0]]), b"".join([p[2] for p in parts])
+        ids.append(hashlib.sha256(text).hexdigest())
+        data.append(hashlib.sha256(decoded).hexdigest())
+    return n, ids, data
+
+
+def round_trip(docs: DataFrame, *, path: str, pattern: str, id_cols: list[str], text_col: str = "text", step: int = 512) -> DataFrame:
     """``id_cols``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path, pattern)
         encoder = shared_encoder(("digest", path, pattern), lambda: Encoder(ranks.encode_pieces, lambda ids: (len(ids), ",".join(map(str, ids)).encode(), ranks.decode(ids)), CACHE))
         for batch in batches:
-            n, a, b = [], [], []
-            for parts in encoder(batch.column(batch.num_columns - 1).to_pylist()):
-                n.append(sum(p[0] for p in parts))
-                a.append(hashlib.sha256(b",".join([p[1] for p in parts if p[0]])).hexdigest())
-                b.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
+            texts = batch.column(batch.num_columns - 1)
+            parts = [digests(texts.slice(at, step), encoder) for at in range(0, len(texts), step)]
+            made = [[x for p in parts for x in p[i]] for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(m, t) for m, t in zip(made, (pa.int64(), pa.string(), pa.string()), strict=True))], names=[*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept = docs.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
     fields = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1])

@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.bpe import _UNSAFE, Encoder, shared_encoder
+from ledgerline.llm.bpe import Encoder, shared_encoder, words_of
 
 GROUP, CACHE = 4096, 100_000
 
@@ -159,23 +158,15 @@ def batch_ids(texts: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.ndarray
 
     Words of texts whose every space is a single one are told apart once a batch and encoded once; ids are then gathered. The
     other texts go through the encoder's own pieces."""
-    every = texts.to_pylist()
-    plain = np.array([bool(t) and not _UNSAFE.search(t) and not (encoder.added and encoder.added.search(t)) for t in every], bool)
-    lists = pc.split_pattern(texts.filter(pa.array(plain)).cast(pa.large_string()), " ")
-    words = lists.flatten()
-    coded = words.dictionary_encode() if len(words) else None
-    codes = coded.indices.to_numpy().astype(np.int64) if coded else np.zeros(0, np.int64)
-    bounds = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
-    starts = bounds[:-1] if len(lists) else np.zeros(0, np.int64)
-    known = [" " + w for w in coded.dictionary.to_pylist()] if coded else []
-    made = encoder.encode([*known, *words.take(pa.array(starts)).to_pylist()]) if known else []
-    codes[starts] = len(known) + np.arange(len(starts))  # a text's first word has no space before it
+    every, words = texts.to_pylist(), words_of(texts, encoder.added)
+    plain, codes, bounds = words.plain, words.codes, words.bounds
+    made = encoder.encode(words.distinct) if words.distinct else []
     rest = list(whole_texts([t for t, ok in zip(every, plain, strict=True) if not ok], encoder))
     table = np.frombuffer(b"".join([*made, *rest]), "<u4")
     sizes = np.array([len(m) for m in (*made, *rest)], np.int64) // 4
     # One entry for each word of a plain text and one for each other text, in the order of the texts.
     entries = np.ones(len(every), np.int64)
-    entries[plain] = np.diff(bounds) if len(lists) else 0
+    entries[plain] = np.diff(bounds)
     last = np.cumsum(entries)
     order = np.empty(int(last[-1]) if len(last) else 0, np.int64)
     other = np.ones(len(order), bool)
