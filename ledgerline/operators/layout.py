@@ -128,10 +128,14 @@ def assign_columns(tokens: DataFrame, centers: str | list[float] = "centers", pa
         first = lambda values, best: F.coalesce(*[F.when(v == best, i) for i, v in enumerate(values)])
         best, near = (values[0] if len(values) == 1 else f(*values) for f, values in ((F.greatest, overlap), (F.least, distance)))
         return tokens.withColumn("column", F.when(best > 0, first(overlap, best)).otherwise(first(distance, near)))
-    spans = F.transform(
-        centers, lambda c, i: F.struct(
-            (-F.greatest(F.lit(0.0), F.least(right, F.coalesce((c + F.get(centers, i + 1)) / 2, width)) - F.greatest(left, F.coalesce((c + F.get(centers, F.when(i > 0, i - 1))) / 2, F.lit(0.0))))).alias("o"), i.alias("i"), F.abs(c - (left + F.col("width") / 2)).alias("d"),
-        ),
-    )
-    column = let(spans, lambda s: let(F.array_min(s), lambda best: F.when(best["o"] < 0, best["i"]).otherwise(F.array_min(F.transform(s, lambda x: F.struct(x["d"].alias("d"), x["i"].alias("i"))))["i"])))
-    return tokens.withColumn("column", column.cast("int"))
+    return tokens.withColumn("column", column_of(left, F.col("width"), F.col(centers), width).cast("int"))
+
+
+def column_of(x: Column, width: Column, centers: Column, page_width: Column) -> Column:
+    """The place in ``centers`` of the span that a token overlaps most (ties to the left), else of the nearest centre; NULL without centres."""
+    before = lambda c, i: F.coalesce((c + F.get(centers, F.when(i > 0, i - 1))) / 2, F.lit(0.0))
+    after = lambda c, i: F.coalesce((c + F.get(centers, i + 1)) / 2, page_width)
+    overlap = lambda c, i: F.greatest(F.lit(0.0), F.least(x + width, after(c, i)) - F.greatest(x, before(c, i)))
+    spans = F.transform(centers, lambda c, i: F.struct((-overlap(c, i)).alias("o"), i.alias("i"), F.abs(c - (x + width / 2)).alias("d")))
+    nearest = lambda s: F.array_min(F.transform(s, lambda v: F.struct(v["d"].alias("d"), v["i"].alias("i"))))["i"]
+    return let(spans, lambda s: let(F.array_min(s), lambda best: F.when(best["o"] < 0, best["i"]).otherwise(nearest(s))))
