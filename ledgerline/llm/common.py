@@ -40,6 +40,15 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts and merges whatever Spark takes its size for.
+
+    Spark takes a frame below ``explode`` or a ``cut`` for as small as what it was made from, at times by a factor of 31, and would
+    build it whole in the driver to broadcast it. Sorting spills and holds no side in memory.
+    """
+    return df.hint("merge")
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids fall in fold 0 (crc32 of '')."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds

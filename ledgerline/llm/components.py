@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, discard
+from ledgerline.llm.common import cut, discard, merged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least of its neighbourhood."""
     both = edges.union(edges.select("dst", "src"))
-    least = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("n"), F.least("src", "m").alias("m"))
-    return both.filter("dst > src").join(least, F.col("src") == F.col("n")).select(F.col("m").alias("src"), "dst").filter("src <> dst").distinct()
+    least = both.groupBy("src").agg(F.min("dst").alias("m"), F.max("src").alias("n")).select("n", F.least("n", "m").alias("m"))
+    return both.filter("dst > src").join(merged(least), F.col("src") == F.col("n")).select(F.col("m").alias("src"), "dst").filter("src <> dst").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of those."""
     down = edges.select(F.greatest("src", "dst").alias("n"), F.least("src", "dst").alias("s"))
-    least = down.groupBy("n").agg(F.min("s").alias("m")).withColumnRenamed("n", "k")
-    moved = down.join(least, F.col("n") == F.col("k")).select(F.col("m").alias("src"), F.col("s").alias("dst"))
+    least = down.groupBy("n").agg(F.min("s").alias("m"), F.max("n").alias("k")).select("k", "m")
+    moved = down.join(merged(least), F.col("n") == F.col("k")).select(F.col("m").alias("src"), F.col("s").alias("dst"))
     return moved.union(least.select(F.col("m").alias("src"), F.col("k").alias("dst"))).filter("src <> dst").distinct()
 
 
@@ -30,7 +30,8 @@ def connected(edges: DataFrame) -> DataFrame:
     checkpoint folder, so lineage stays short, and the round before it is deleted. It ends when every edge points from a
     root to a node that is nobody's root, the fixed point of the two steps; rounds are about
     the logarithm of the longest path. Minima are pre-aggregated before each shuffle and the stars'
-    hot centres sit on the side of a join that adaptive execution can split. No edge: no row.
+    hot centres sit on the side of a join that adaptive execution can split, and nothing is broadcast. It splits only between
+    two shuffles, so the minima name their node by an aggregate, which Spark deals anew. No edge: no row.
     """
     edges = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct())
     while True:

@@ -15,7 +15,7 @@ however large, cost one row. Only keys that two or more distinct fingerprints sh
 bucket of over ``chunk`` fingerprints is dealt into chunks and every pair of chunks is compared in
 a task of its own: memory stays bounded and no pair is missed. Comparison is numpy XOR and popcount;
 a bucket emits a spanning forest of its links, never all pairs. Components come from
-``components.connected``.
+``components.connected``. No side of a join is broadcast, so the driver's memory doesn't grow with the table.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows with
 a null id keep it and take part (their component is the smallest other id, or null); repeated ids
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut
+from ledgerline.llm.common import cut, merged
 from ledgerline.llm.components import connected
 
 SEED, SALTS = 42, 32
@@ -106,7 +106,7 @@ def links(distinct: DataFrame, *, radius: int = 4, chunk: int = 4096) -> DataFra
     tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in covering_masks(radius)])).alias("table", "key")
     keys = distinct.select("fp", tables)
     shared = keys.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dealt = keys.join(shared, ["table", "key"])
+    dealt = keys.join(merged(shared), ["table", "key"])
     parts = F.ceil(F.col("n") / chunk).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
     # Chunk i meets every chunk j in the task (min, max); a bucket of one chunk stays whole.
@@ -137,15 +137,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fps = cut(fingerprints(docs, id_col=id_col, text_col=text_col, words=words))
     distinct = fps.groupBy("fp").agg(F.min(id_col).alias("_least"))
     roots = connected(links(distinct.select("fp"), radius=radius, chunk=chunk))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    named = distinct.join(merged(roots.withColumnRenamed("node", "fp")), "fp", "left")
     # Classes of one fingerprint are named already. Others get their name by the root, each member in one of
     # ``SALTS`` lots by its own hash, so that a large class is no task of its own.
     alone = named.filter("root is null").select(F.col("fp").alias("_fp"), F.col("_least").alias("component_id"))
     linked = named.filter("root is not null").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
     least = linked.groupBy("root", "salt").agg(F.min("_least").alias("_least")).groupBy("root").agg(F.min("_least").alias("component_id"))
     least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    classes = alone.unionByName(linked.join(least, ["root", "salt"]).select(F.col("fp").alias("_fp"), "component_id"))
-    return fps.join(classes, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
+    classes = alone.unionByName(linked.join(merged(least), ["root", "salt"]).select(F.col("fp").alias("_fp"), "component_id"))
+    return fps.join(merged(classes), F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
 
 
 def hex16(fp: str) -> Column:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerline.llm import bpe, common, langid, packing, quality, queries, secrets, simhash, toxicity
+from ledgerline.llm import bpe, common, components, langid, packing, quality, queries, secrets, simhash, toxicity
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -256,6 +256,27 @@ def test_rounds_leave_one_checkpoint(spark, tmp_path):
     assert len(glob.glob(f"{folder}/*")) - before <= 2
 
 
+def run_plan(df):
+    """What ran, with every change that adaptive execution made."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_broadcast_nothing(spark, tmp_path):
+    """A table of fingerprints looks small enough to broadcast; its keys are 31 times as many."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    body = r.choices(words, k=200)
+    texts = [" ".join(r.choices(words, k=30)) for _ in range(200)] + [" ".join([*body[:i], "new", *body[i + 1 :]]) for i in range(100)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = common.table(spark, str(tmp_path), "documents")
+    distinct = common.cut(simhash.fingerprints(docs)).select("fp").distinct()
+    edges = common.cut(simhash.links(distinct))
+    assert edges.count() > 50
+    frames = [simhash.links(distinct), components._large_star(edges), components._small_star(edges), simhash.near_duplicates(docs)]
+    assert ["Broadcast" in run_plan(df) for df in frames] == [False] * len(frames)
+
+
 # --- packing and encoding ---
 
 
