@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import langid, packing, secrets, simhash, toxicity
-from ledgerline.llm.common import cut, fold, fresh, table
+from ledgerline.llm.common import cut, fold, fresh, merged, table
 
 #: A text whose best language scores below this is rejected, and so is one without letters.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -41,7 +41,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = docs.withColumn(own, key)
     groups = simhash.near_duplicates(keyed.select(F.col(own).alias("_key"), "text"), id_col="_key")
     keep = groups.filter(F.col("_key") == F.col("component_id")).select(F.col("_key").alias(kept)).distinct()
-    return keyed.join(keep, F.col(own) == F.col(kept), "left_semi").dropDuplicates([own]).select(docs.columns)
+    return keyed.join(merged(keep), F.col(own) == F.col(kept), "left_semi").dropDuplicates([own]).select(docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

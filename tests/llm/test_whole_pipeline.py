@@ -14,3 +14,10 @@ def test_repeated_and_null_ids(spark):
     out = corpus_pipeline.near_duplicate_stage(spark, df.repartition(3), "")
     assert out.schema == df.schema
     assert sorted(((x.doc_id, x.text) for x in out.collect()), key=str) == sorted([(1, a), (7, b), (7, c), (None, d), (9, e), (3, f), (8, "")], key=str)
+
+
+def test_stage_broadcasts_nothing(spark, small):
+    """What the stage keeps and links grows with the table, so none of it may be built in the driver."""
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{small}/documents.parquet"), small)
+    assert 0 < len(out.collect()) < 200
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
